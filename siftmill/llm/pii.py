@@ -41,9 +41,9 @@ _FILE_ENDINGS = frozenset("png jpg jpeg gif webp svg bmp tif tiff pdf txt zip cs
 _SEP = f"(?:[ .  ]|{_HY})"
 _EXT = rf"(?:,?{_SP}?(?:ext\.?|extension|x|Durchwahl|poste|anexo){_SP}?\d{{1,5}})?"
 _PHONE = re.compile(
-    rf"(?<![\w.,;/+-])(?:"
+    rf"(?<![\w.,;/+-])(?<!\d{_SP})(?:"
     rf"(?:\+1{_SEP}|1{_SEP})?(?:\(\d{{3}}\){_SEP}?|\d{{3}}{_SEP})\d{{3}}{_SEP}\d{{4}}{_EXT}"  # North America
-    rf"|(?:\+44{_SP}?(?:\(0\))?\d{{2,4}}|\(0\d{{2,4}}\)|0\d{{2,4}}){_SEP}\d{{3,4}}{_SEP}?\d{{3,4}}{_EXT}"  # Great Britain
+    rf"|(?:\+44{_SP}?(?:\(0\))?\d{{2,4}}|\(0\d{{2,4}}\)|0\d{{2,4}}){_SEP}\d{{3,4}}{_SEP}?\d{{4}}{_EXT}"  # Great Britain
     rf"|\+44{_SP}\d{{4}}{_SP}\d{{6}}{_EXT}"
     rf"|(?:\+49{_SP}?(?:\(0\))?\d{{2,5}}|\(0\d{{2,5}}\)|0\d{{2,5}})(?:[ / ]|{_HY})\d{{4,9}}(?:(?:{_HY}|{_SP})\d{{1,5}})?{_EXT}"  # Germany
     rf"|(?:\+33{_SP}?(?:\(0\))?\d|0\d)(?:[ .  -]\d\d){{4}}{_EXT}"  # France
@@ -76,7 +76,7 @@ _UNIT = rf"(?:,?{_SP}(?:Apt|Apartment|Unit|Flat|Suite|Ste|Floor|Fl|Room|Rm|#)\.?
 _EN_KIND = r"(?:Rd|Road|St|Street|Ave|Avenue|Lane|Ln|Blvd|Boulevard|Drive|Dr|Way|Court|Ct|Square|Sq|Terrace|Close|Crescent|Place|Pl|Hill|Row)"
 _STREET = re.compile(
     rf"(?<![\w/.,-])(?:"
-    rf"\d{{1,5}}[A-Za-z]?{_SP}(?:{_CAP}{_SP}){{1,3}}{_EN_KIND}\b(?:\.(?=,?{_SP}(?:Apt|Unit|Flat|Suite|Floor)))?{_UNIT}"
+    rf"\d{{1,5}}[A-Za-z]?(?!{_SP}[KMGT]?B\b){_SP}(?:{_CAP}{_SP}){{1,3}}{_EN_KIND}\b(?:\.(?=,?{_SP}(?:Apt|Unit|Flat|Suite|Floor)))?{_UNIT}"
     rf"|\d{{1,5}}(?:{_SP}(?:bis|ter|quater))?,?{_SP}(?:rue|avenue|boulevard|bd|allée|chemin|impasse|place|quai|route|cours)(?:{_SP}(?:des|de{_SP}la|de{_SP}l['’]|du|de|d['’]))?{_SP}?{_CAP}(?:,{_SP}\d+(?:er|e|ème){_SP}étage|,{_SP}(?:bât|apt|appt)\.?{_SP}\w+)?"
     rf"|(?:C/|Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Travesía){_SP}(?:(?:de|del|de{_SP}la|de{_SP}los){_SP})?{_CAP}(?:{_SP}{_CAP})*,?{_SP}(?:n\.?º{_SP}?)?\d{{1,5}}[A-Za-z]?(?:,{_SP}(?:bajo|ático|entresuelo|\d+[.ºª°]+{_SP}?[A-Za-z]?(?:zq|cha)?\.?(?<!\.)))?"
     rf"|{_CAP}(?:straße|strasse|str\.|gasse|allee|weg|platz|ring|damm|ufer){_SP}\d{{1,5}}[a-z]?\b"
