@@ -48,7 +48,7 @@ def cut(df: DataFrame, name: str, sums: dict[str, Column] | None = None) -> Tabl
     """Write ``df`` to the shared folder and read it back without lineage; counts come from the same job."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     seen = Observation()
-    extra = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k) for k, c in (sums or {}).items()]
+    extra = [F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in (sums or {}).items()]
     df.observe(seen, F.count(F.lit(1)).alias("__rows"), *extra).write.parquet(path)
     got = seen.get
     back = spark.read.schema(df.schema).parquet(path)
