@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.plans import data_quality
+from siftmill.plans import data_quality, file_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (data_quality,)
+MODULES = (file_queries, data_quality)
 
 
 def queries() -> dict[str, Query]:
