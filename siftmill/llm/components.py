@@ -12,13 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.shared import Table, cut, hot_limit
+from siftmill.operators.graph import MAX_ROUNDS, both_ways, lookup, star_contraction
+from siftmill.shared import Table, cut
 
 #: Leaf and chain layers go on while each pair of them removes at least this share of the edges.
 WORTHWHILE = 0.15
-#: Bound against endless loops; every loop below halves something, so 2^64 vertices stay below it.
-MAX_ROUNDS = 80
-
 
 def clean_links(pairs: DataFrame, a: Column, b: Column, keep: Column) -> DataFrame:
     """Undirected distinct links (a < b) of the rows kept; null ids and self links have none."""
@@ -31,12 +29,8 @@ def clean_links(pairs: DataFrame, a: Column, b: Column, keep: Column) -> DataFra
     )
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("v", "w")
-
-
 def _degrees(edges: DataFrame) -> DataFrame:
-    return _both(edges).groupBy("v").agg(F.count(F.lit(1)).alias("deg"), F.min("w").alias("lo"), F.max("w").alias("hi"))
+    return both_ways(edges).groupBy("v").agg(F.count(F.lit(1)).alias("deg"), F.min("w").alias("lo"), F.max("w").alias("hi"))
 
 
 def _strip_leaves(edges: Table, layers: list[Table]) -> Table:
@@ -126,41 +120,9 @@ def _compress_chains(edges: Table, layers: list[Table]) -> Table:
     return out
 
 
-def _attach(edges: DataFrame, value: DataFrame, rows: int) -> DataFrame:
-    """Directed edges (v, w) with ``m`` of v; vertices above the limit (at most HOT_SHARE) are broadcast."""
-    limit = hot_limit(rows)
-    if rows <= limit:
-        return edges.join(value.select("v", "m"), "v")
-    hot = F.broadcast(value.filter(F.col("deg") > limit).select("v", F.col("m").alias("hm")))
-    marked = edges.join(hot, "v", "left")
-    cold = marked.filter("hm is null").drop("hm").join(value.filter(F.col("deg") <= limit).select("v", "m"), "v")
-    return marked.filter("hm is not null").withColumnRenamed("hm", "m").unionByName(cold)
-
-
 def _solve_core(edges: Table, layers: list[Table]) -> None:
-    """Star contraction of what is left: alternately link all larger, then all smaller neighbours of a vertex to its
-    smallest neighbour, until every vertex hangs on the smallest of its component."""
-    e = edges
-    for _ in range(MAX_ROUNDS):
-        two = _both(e.df)
-        least = two.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("deg"))
-        large = _attach(two, least, 2 * e.rows).filter("w > v").select(F.col("w").alias("v"), F.col("m").alias("w"))
-        large = cut(large.filter("v <> w").distinct(), "cc-core")
-        # small star: here every v points to smaller w only
-        low = large.df.groupBy("v").agg(F.min("w").alias("m"), F.count(F.lit(1)).alias("deg"))
-        small = _attach(large.df, low, large.rows).select(F.col("w").alias("v"), F.col("m").alias("w"))
-        small = cut(
-            small.union(low.select("v", "m")).filter("v <> w").distinct().select(F.col("w").alias("a"), F.col("v").alias("b")), "cc-core"
-        )
-        hubs = small.df.groupBy(F.col("b").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-        # converged once every larger end has one edge only and no smaller end is itself a larger one
-        more = hubs.filter("n > 1").limit(1).count() or small.df.select("a").join(hubs.select("a"), "a", "left_semi").limit(1).count()
-        large.drop()
-        if e is not edges:
-            e.drop()
-        e = small
-        if not more:
-            break
+    """The layer of what is left: every vertex hangs on the smallest of its component."""
+    e = star_contraction(edges)
     layers.append(Table(e.df.select(F.col("b").alias("v"), F.col("a").alias("up")), e.path, e.rows, {}))
 
 
@@ -179,47 +141,28 @@ def connected_groups(links: DataFrame) -> DataFrame:
             break
         for step in (_strip_leaves, _compress_chains):
             after = step(edges, layers) if edges.rows else edges
-            if after is not edges and edges is not start:
+            if after is not edges:
                 edges.drop()
             edges = after
         if before - edges.rows < WORTHWHILE * before:
             break
     if edges.rows:
         _solve_core(edges, layers)
-    vertices = start.df.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
     if not layers:
-        return vertices.withColumn("group_id", F.col("file_id"))
-    # restore: a vertex of a layer takes the root of the vertex it was hung on, last layer first
-    root = layers[-1].df.select("v", F.col("up").alias("root"))
-    for layer in reversed(layers[:-1]):
-        above = root.select(F.col("v").alias("up"), F.col("root").alias("r"))
-        down = _restore(layer, above)
-        root = root.unionByName(down)
-    named = root.select(F.col("v").alias("file_id"), "root")
-    rooted = cut(vertices.join(named, "file_id", "left").select("file_id", F.coalesce("root", "file_id").alias("root")), "cc-roots")
-    low = rooted.df.groupBy("root").agg(F.min("file_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
-    return _final(rooted, low)
-
-
-def _restore(layer: Table, above: DataFrame) -> DataFrame:
-    """Roots of a layer's vertices. Many leaves may hang on one vertex: ``above`` is unique by ``up``, and hubs
-    (at most HOT_SHARE) are broadcast."""
-    limit = hot_limit(layer.rows)
-    df = layer.df
-    if layer.rows > limit:
-        hubs = df.groupBy("up").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("up")
-        known = F.broadcast(hubs.join(above, "up", "left").select(F.col("up").alias("hub"), F.coalesce("r", "up").alias("hr")))
-        marked = df.join(known, F.col("up") == F.col("hub"), "left")
-        cold = marked.filter("hub is null").select("v", "up").join(above, "up", "left").select("v", F.coalesce("r", "up").alias("root"))
-        return marked.filter("hub is not null").select("v", F.col("hr").alias("root")).unionByName(cold)
-    return df.join(above, "up", "left").select("v", F.coalesce("r", "up").alias("root"))
-
-
-def _final(rooted: Table, low: DataFrame) -> DataFrame:
-    limit = hot_limit(rooted.rows)
-    if rooted.rows <= limit:
-        return rooted.df.join(low, "root").select("file_id", "group_id")
-    hot = F.broadcast(low.filter(F.col("n") > limit).select(F.col("root").alias("hot"), F.col("group_id").alias("hg")))
-    marked = rooted.df.join(hot, F.col("root") == F.col("hot"), "left")
-    cold = marked.filter("hot is null").select("file_id", "root").join(low.filter(F.col("n") <= limit).select("root", "group_id"), "root")
-    return marked.filter("hot is not null").select("file_id", F.col("hg").alias("group_id")).unionByName(cold.select("file_id", "group_id"))
+        return start.df.select(F.col("a").alias("file_id"), F.col("b").alias("group_id"))
+    # restore: every removed vertex hangs on one that stayed longer; doubling takes it to its root
+    hung = layers[0].df.select("v", "up")
+    for layer in layers[1:]:
+        hung = hung.unionByName(layer.df.select("v", "up"))
+    forest, depth = Table(hung, "", sum(x.rows for x in layers), {}), 1
+    while depth < len(layers):
+        above = forest.df.select(F.col("v").alias("k"), F.col("up").alias("r"))
+        up = lookup(forest.df, "up", above, forest.rows).select("v", F.coalesce("r", "up").alias("up"))
+        after = cut(up, "cc-forest")
+        if forest.path:
+            forest.drop()
+        forest, depth = after, depth * 2
+    # every vertex has an edge, so a root is always hung on
+    low = forest.df.groupBy("up").agg(F.least(F.min("v"), F.col("up")).alias("r"))
+    named = lookup(forest.df, "up", low.withColumnRenamed("up", "k"), forest.rows).select(F.col("v").alias("file_id"), F.col("r").alias("group_id"))
+    return named.unionByName(low.select(F.col("up").alias("file_id"), F.col("r").alias("group_id")))
