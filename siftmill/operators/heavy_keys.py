@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Keys the sketch keeps; its error is at most 3.5 / SKETCH_KEYS of all rows.
-SKETCH_KEYS = 16_384
+SKETCH_KEYS = 4096
+#: Tasks whose sketches are merged in one place at first; a second step merges the merged ones.
+MERGE_FAN_IN = 64
 #: Share of all rows that makes a key heavy unless the caller says otherwise.
 HEAVY_SHARE = 0.02
 
@@ -29,8 +31,11 @@ def sketch_heavy(rows: DataFrame, keys: list[str], share: float) -> tuple[DataFr
     spark = rows.sparkSession
     text = F.concat_ws("\x01", *(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))
     most = int(2 / share) + 2
-    sketch = F.expr(f"approx_top_k(__key, {most}, {SKETCH_KEYS})")
-    got = rows.select(text.alias("__key")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first() or Row(n=0, top=[])
+    tasks = rows.rdd.getNumPartitions()  # planned only, nothing runs
+    first = rows.select(text.alias("__key"), F.pmod(F.spark_partition_id(), F.lit(max(1, tasks // MERGE_FAN_IN))).alias("__at"))
+    merged = first.groupBy("__at").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(__key, {SKETCH_KEYS})").alias("s"))
+    whole = merged.groupBy(F.lit(1)).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {SKETCH_KEYS})").alias("s"))
+    got = whole.select("n", F.expr(f"approx_top_k_estimate(s, {most})").alias("top")).first() or Row(n=0, top=[])
     bound = got.n * max(0.0, share - 4.0 / SKETCH_KEYS)
     found = [x.item for x in (got.top or []) if x["count"] >= bound and x.item is not None]
     parts = F.split("t", "\x01")
