@@ -98,7 +98,13 @@ _BEFORE = (
 )
 _NAME_AFTER = re.compile(rf"{_BEFORE}{_TITLE}(?P<n>{_NAME})(?!\w)")
 _NAME_BEFORE = re.compile(rf"(?<![\w-]){_TITLE}(?P<n>{_NAME})(?={_SP}(?:asked for the|and the night shift|kept the only|erteilt))")
-_NAME_ANY = re.compile(rf"(?<![\w@.+-])(?P<n>{_NAME})(?![\w@])")
+#: A capitalised word, and what makes it a name if it is a family name: a given name before it, or after its comma.
+_CAPITAL = re.compile(r"(?<![\w@.+])[A-ZÀ-Þ][\w’']*")
+_GIVEN_BEFORE = re.compile(rf"(?<![\w@.+-])(?:{_W}|{_I})(?:{_SP}{_I})?{_SP}(?:{_W}-)?$")
+_DOUBLE = re.compile(rf"(?:-{_W})?(?![\w@])")
+_GIVEN_AFTER = re.compile(rf"{_FAM},{_SP}(?:{_W}|{_I})(?:{_SP}{_I})?(?![\w@-])")
+#: Characters that a given name, initial and first half of a family name may take.
+_REACH = 90
 _FORM = re.compile(rf"(?P<first>{_W}|{_I})(?:{_SP}{_I})?{_SP}(?P<last>{_FAM})|(?P<last2>{_FAM}),{_SP}(?P<first2>{_W}|{_I})(?:{_SP}{_I})?")
 _TITLES = frozenset("MS MR MRS DR PROF FRAU HERR HERRN MME MLLE SR SRA DON M.".split())
 
@@ -140,14 +146,16 @@ class Finder:
             for m in rule.finditer(text):
                 if self.person(m.group("n"), anchored=True):
                     add(*m.span("n"), "name")
-        at = 0
-        while m := _NAME_ANY.search(text, at):
-            if self.person(m.group("n"), anchored=False):
-                add(*m.span("n"), "name")
-                at = m.end()
-            else:  # the next name may begin within this one
-                step = re.compile(r"[\w.’'-]+").match(text, m.start())
-                at = step.end() if step else m.start() + 1
+        for m in _CAPITAL.finditer(text):
+            if m.group().lower() not in self.family:
+                continue
+            s, e = m.span()
+            low = max(0, s - _REACH)
+            before, end = _GIVEN_BEFORE.search(text[low:s]), _DOUBLE.match(text, e)
+            if before and end and self.person(text[low + before.start() : end.end()], anchored=False):
+                add(low + before.start(), end.end(), "name")
+            elif (after := _GIVEN_AFTER.match(text, s)) and self.person(after.group(), anchored=False):
+                add(*after.span(), "name")
         return sorted(taken)
 
     def person(self, name: str, anchored: bool) -> bool:
