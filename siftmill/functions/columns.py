@@ -123,7 +123,7 @@ def format_bytes(n: Column) -> Column:
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1024**2, F.concat(dec(n / k, 1), F.lit(" KB")))
         .when(n < 1024**3, F.concat(dec(n / (k * k), 1), F.lit(" MB")))
-        .otherwise(F.concat(dec(n / (k * k * k), 2), F.lit(" GB")))
+        .when(n >= 1024**3, F.concat(dec(n / (k * k * k), 2), F.lit(" GB")))
     )
 
 
@@ -143,7 +143,6 @@ def strategy_label(strategy: Column) -> Column:
 
 def duration(seconds: Column, padded: bool = False) -> Column:
     """'Xh Ym Zs', without the leading zero units; ``padded`` writes minutes after hours, and seconds, in two digits."""
-    h, m, s = F.expr("0"), None, None
     n = seconds.cast("long")
     h, m, s = F.floor(n / 3600), F.floor((n % 3600) / 60), n % 60
     two = "%02d" if padded else "%d"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmill.shared import shared_dir
+from siftmill.shared import delete_path, shared_dir
 
 #: Buckets of an index; each holds rows of one hash of the key, whatever series they belong to.
 BUCKETS = 48
@@ -98,8 +98,7 @@ class SnapshotIndex:
     def retire(self, table: str) -> None:
         """Delete an index that has been replaced, once its probes have run."""
         self.spark.sql(f"drop table if exists {table}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, f"{shared_dir(self.spark)}/{table}")
 
 
 def completed_snapshots(scans: DataFrame) -> DataFrame:

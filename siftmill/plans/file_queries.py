@@ -11,6 +11,7 @@ from siftmill.functions import fingerprints as fp
 from siftmill.operators import dedup, graph, store
 from siftmill.operators.snapshots import completed_snapshots
 from siftmill.plans.tables import read
+from siftmill.shared import spread
 
 # Folders left out in the path_exclusion query.
 EXCLUDED = ("/data/lib00001/archive", "/data/lib00002/photos/", "/gdrive/lib00001", "/mnt")
@@ -215,7 +216,7 @@ sig as (select d.doc_id, d.lang, octet_length(encode(d.text)) as size, coalesce(
 @query(f"with {_SIGNATURES} select doc_id, sha256(array_to_string(v, ',')) as signature from sig")
 def minhash_signatures(t):
     sig = fp.signature(F.col("text"))
-    return t.documents.repartition("doc_id").select("doc_id", sig.alias("v")).select("doc_id", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256).alias("signature"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", sig.alias("v")).select("doc_id", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256).alias("signature"))
 
 
 @query(f"""with {_SIGNATURES},
@@ -225,7 +226,7 @@ p as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, list_sum(list_t
 select id_a, id_b, similarity::double as similarity, n_a, n_b from p where similarity >= 65 / 128.0 and similarity < 1""")
 def neardup_links(t):
     """Near duplicates among documents of one language, from 65 of 128 positions, where the bands are certain."""
-    docs = t.documents.filter("lang is not null and text is not null").repartition("doc_id")
+    docs = spread(t.documents.filter("lang is not null and text is not null").select("doc_id", "lang", "text"))
     records = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("size"), fp.signature(F.col("text")).alias("sig"))
     return dedup.near_duplicate_classes(records, 65 / 128)
 

@@ -6,6 +6,7 @@ Iterative operators cut their lineage by writing a table below the folder named
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,13 +25,39 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="siftmill-")
         spark.conf.set("siftmill.shared.dir", base)
-    return f"{base.rstrip('/')}/siftmill/{spark.sparkContext.applicationId}"
+    folder = f"{base.rstrip('/')}/siftmill/{spark.sparkContext.applicationId}"
+    if folder not in _seen:
+        _seen.add(folder)
+        atexit.register(_cleanup_at_end, spark)
+    return folder
 
 
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_seen: set[str] = set()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder; nothing lazy may read them any more. Runs by itself when
+    the driver ends."""
+    delete_path(spark, shared_dir(spark))
+
+
+def _cleanup_at_end(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            cleanup(spark)
+    except Exception:  # noqa: BLE001  the session is gone already
+        pass
+
+
 class Table:
     """A written table: ``df`` reads it back, ``rows`` is its row count, ``sums`` the sums asked for."""
 
@@ -39,9 +66,7 @@ class Table:
 
     def drop(self) -> None:
         """Delete the files; only once nothing lazy reads them any more."""
-        jvm = self.df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.df.sparkSession, self.path)
 
 
 def cut(df: DataFrame, name: str, sums: dict[str, Column] | None = None) -> Table:
@@ -55,6 +80,13 @@ def cut(df: DataFrame, name: str, sums: dict[str, Column] | None = None) -> Tabl
     return Table(back, path, int(got.get("__rows") or 0), {k: int(got.get(k) or 0) for k in (sums or {})})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan ahead of costly Python work, over at least as many tasks as there are cores; large inputs have more of
+    their own and stay as they are. Only for inputs without a shuffle, as the plan is asked for its partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def hot_limit(rows: int) -> int:
     """Rows above which a key counts as hot: at most ``HOT_SHARE`` keys can exceed it."""
     return max(HOT_ROWS, rows // HOT_SHARE)
