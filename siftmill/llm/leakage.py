@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.shared import spread
+
 #: Consecutive words that make a leak.
 N_WORDS = 12
 #: Most bytes of item text that are broadcast; a larger set is split and the corpus scanned once for each part.
@@ -213,6 +215,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, n: int = N_WORDS) -> Data
     Rows that repeat a doc_id are scanned each; a null doc_id stays null. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    docs = spread(docs)
     found = [docs.mapInArrow(_leak_scan(g), "doc_id long, item_id long, windows long") for g in ngram_sets(docs.sparkSession, items, n)]
     out = found[0]
     for more in found[1:]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmill.shared import cut
+from siftmill.shared import cut, spread
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the byte-level BPE vocabularies.
@@ -70,7 +70,7 @@ def count_tokens(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, seed:
         ((bits.cast("double") + 0.5) / float(1 << 52)).alias("draw"),
         F.col("text").cast("string").alias("text"),
     )
-    return docs.mapInArrow(_token_counter(tokenizer), "doc_id long, source string, draw double, n_tokens long")
+    return spread(docs).mapInArrow(_token_counter(tokenizer), "doc_id long, source string, draw double, n_tokens long")
 
 
 def allocate(capacity: dict[str, float], weight: dict[str, float], total: float | None) -> dict[str, float]:

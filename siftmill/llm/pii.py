@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.shared import spread
+
 #: For tests and examples only; production passes a secret of its own.
 DEFAULT_KEY = b"siftmill-example-key"
 ROUNDS = 10
@@ -232,7 +234,7 @@ def _lexicon(spark: SparkSession, names: DataFrame):
 
 
 def _columns(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
 
 def find_pii(documents: DataFrame, names: DataFrame) -> DataFrame:
