@@ -72,9 +72,9 @@ def near_duplicate_classes(records: DataFrame, min_similarity: float = MIN_SIMIL
     min_similarity <= similarity < 1. Found by 64 bands of two values, which is certain above 64 equal positions.
     """
     classes = cut(
-        records.filter("kind is not null and sig is not null").groupBy("kind", "size", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")),
+        records.filter("kind is not null").groupBy("kind", "size", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")),
         "near-classes",
-    ).df
+    ).df.filter("sig is not null")  # here, as a filter on a fingerprint not written yet would compute it twice
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64("kind", k, F.element_at("sig", k * ROWS + 1), F.element_at("sig", k * ROWS + 2))))
     posts = classes.select("id", "size", band.alias("band"))
     lists = posts.groupBy("band").agg(F.count(F.lit(1)).alias("len")).filter("len > 1")
