@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from siftmill.functions.columns import clean_mime, near_dup_strategy
 from siftmill.functions.fingerprints import minhash_similarity
 from siftmill.operators.graph import components
-from siftmill.shared import cut
+from siftmill.shared import cut, join_by_key
 
 #: Two bands of equal values out of 64 are found for certain if more than 64 of 128 positions agree.
 BANDS, ROWS = 64, 2
@@ -89,6 +89,16 @@ def near_duplicate_classes(records: DataFrame, min_similarity: float = MIN_SIMIL
     return scored.filter((F.col("similarity") >= min_similarity) & (F.col("similarity") < 1.0)).select("id_a", "id_b", "similarity", "n_a", "n_b")
 
 
+def near_duplicate_members(records: DataFrame) -> DataFrame:
+    """(id, class_id, n): every record that has a kind and a signature with its class of ``near_duplicate_classes``, named
+    by the lowest id, and the number of records in it. A class of many copies does not gather in one task."""
+    known = records.filter("kind is not null").select("id", "sig", F.sha2(F.to_json(F.struct("kind", "size", "sig")), 256).alias("key"))
+    keyed = cut(known.select("id", "key", F.col("sig").isNotNull().alias("signed")), "near-keys")
+    signed = keyed.df.filter("signed").drop("signed")
+    classes = signed.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).withColumn("weight", F.col("n"))
+    return join_by_key(signed, classes, "key", "weight", keyed.rows).select("id", "class_id", "n")
+
+
 def scored_links(pairs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Usable near-duplicate pairs (a, b, similarity), each once with its highest similarity; 1.0 is none of them."""
     ok = pairs.filter(F.col("similarity").between(min_similarity, 1.0) & (F.col("similarity") < 1.0) & (F.col("file_id_a") != F.col("file_id_b")))

@@ -154,6 +154,21 @@ def test_exact_groups_keep_the_oldest(spark):
     assert rows(dedup.exact_groups(spark.createDataFrame([], FILES))) == []
 
 
+def near_records(spark, data):
+    return spark.createDataFrame(data, "id long, kind string, size long, sig array<long>")
+
+
+def test_members_give_every_linked_document(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    one, near, far = list(range(128)), list(range(100)) + [9000] * 28, [7000 + i for i in range(128)]
+    data = [(i, "k", 10, one) for i in range(1, 9)] + [(i, "k", 11, near) for i in (20, 21, 22)] + [(30, "k", 10, far), (31, "m", 10, one), (32, None, 10, one), (33, "k", 10, None)]
+    members = dedup.near_duplicate_members(near_records(spark, data))
+    assert rows(members) == sorted([(i, 1, 8) for i in range(1, 9)] + [(i, 20, 3) for i in (20, 21, 22)] + [(30, 30, 1), (31, 31, 1)], key=repr)
+    side = lambda s: members.select(F.col("id").alias(s), F.col("class_id").alias(f"id_{s}"))
+    links = dedup.near_duplicate_classes(near_records(spark, data)).join(side("a"), "id_a").join(side("b"), "id_b")
+    assert rows(links.select("a", "b")) == sorted([(a, b) for a in range(1, 9) for b in (20, 21, 22)], key=repr)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (3, None), (2, 1)] + [(200, 200 + i) for i in range(1, 60)], "a long, b long")
     got = {r.v: r.root for r in graph.components(links).collect()}
