@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.functions.columns import clean_mime, near_dup_strategy
-from siftmill.functions.fingerprints import minhash_similarity
+from siftmill.functions.fingerprints import PERMUTATIONS, minhash_similarity
 from siftmill.operators.graph import components
 from siftmill.shared import cut, join_by_key
 
@@ -17,6 +17,8 @@ MIN_SIZE_RATIO = 0.5
 MIN_SIMILARITY = 0.5
 MAX_CLUSTER = 100
 AUTO_THRESHOLD = 0.95
+#: A sketch holds three bits of each position in lanes of four, so many lanes to a long; spare lanes stay 0.
+LANES, SKETCH = 15, 9
 #: Members of one band value that meet within one block.
 BLOCK = 1000
 
@@ -64,25 +66,40 @@ def exact_links(files: DataFrame) -> DataFrame:
     return known.join(sizes, ["scan_id", "size", "hash_full"]).select("id", "class_id", "n_links")
 
 
+def sketch(sig: Column) -> Column:
+    """Three bits of each of the 128 numbers, as nine longs."""
+    pack = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s * 16 + x.bitwiseAND(F.lit(7)))
+    return F.array(*(pack(F.slice(sig, k * LANES + 1, LANES)) for k in range(SKETCH)))
+
+
+def least_differing(a: Column, b: Column) -> Column:
+    """Positions in which two sketches differ; the signatures differ there too, and maybe in more."""
+    low, high = F.lit(int("7" * LANES, 16)), F.lit(int("8" * LANES, 16))
+    parts = [F.bit_count((a[k].bitwiseXOR(b[k]) + low).bitwiseAND(high)) for k in range(SKETCH)]
+    return sum(parts[1:], parts[0])
+
+
 def near_duplicate_classes(records: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Pairs (id_a, id_b, similarity, n_a, n_b) between classes of records alike in kind, size and signature.
 
     ``records``: id, kind, size, sig (array of 128 numbers). A class is named by its lowest id and holds n records.
     Pairs have one kind, a size ratio of at least one half (if both sizes are positive) and
     min_similarity <= similarity < 1. Found by 64 bands of two values, which is certain above 64 equal positions.
+    Sketches travel with the bands, so only pairs that can be similar enough fetch their signatures.
     """
     classes = cut(
         records.filter("kind is not null").groupBy("kind", "size", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")),
         "near-classes",
     ).df.filter("sig is not null")  # here, as a filter on a fingerprint not written yet would compute it twice
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64("kind", k, F.element_at("sig", k * ROWS + 1), F.element_at("sig", k * ROWS + 2))))
-    posts = classes.select("id", "size", band.alias("band"))
+    posts = classes.select("id", "size", sketch(F.col("sig")).alias("sketch"), band.alias("band"))
     lists = posts.groupBy("band").agg(F.count(F.lit(1)).alias("len")).filter("len > 1")
-    linked = cut(posts.join(lists, "band").select("band", "id", "size", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")), "near-posts").df
-    left = linked.select("band", F.col("id").alias("id_a"), F.col("size").alias("size_a"), F.pmod(F.hash("id"), "blocks").alias("block"))
-    right = linked.select("band", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    linked = cut(posts.join(lists, "band").select("band", "id", "size", "sketch", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")), "near-posts").df
+    left = linked.select("band", F.col("id").alias("id_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"), F.pmod(F.hash("id"), "blocks").alias("block"))
+    right = linked.select("band", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     near = (2 * F.least("size_a", "size_b") >= F.greatest("size_a", "size_b")) | (F.least("size_a", "size_b") <= 0)
-    candidates = left.join(right, ["band", "block"]).filter(F.col("id_a") < F.col("id_b")).filter(near).select("id_a", "id_b").distinct()
+    alike = least_differing(F.col("sketch_a"), F.col("sketch_b")) <= PERMUTATIONS * (1 - min_similarity)
+    candidates = left.join(right, ["band", "block"]).filter(F.col("id_a") < F.col("id_b")).filter(near & alike).select("id_a", "id_b").distinct()
     side = lambda s: classes.select(F.col("id").alias(f"id_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"), F.col("kind").alias(f"kind_{s}"))
     pairs = candidates.join(side("a"), "id_a").join(side("b"), "id_b").filter("kind_a = kind_b")
     scored = pairs.withColumn("similarity", minhash_similarity(F.col("sig_a"), F.col("sig_b")))

@@ -227,18 +227,35 @@ select id_a, id_b, similarity::double as similarity, n_a, n_b from p where simil
 def neardup_links(t):
     """Near duplicates among documents of one language, from 65 of 128 positions, where the bands are certain: pairs of
     classes of copies; neardup_members says which documents a class holds."""
-    return dedup.near_duplicate_classes(_signed_documents(t), 65 / 128)
+    return dedup.near_duplicate_classes(_signed_documents(t, F.col("lang")), 65 / 128)
 
 
-def _signed_documents(t):
-    docs = spread(t.documents.filter("lang is not null and text is not null").select("doc_id", "lang", "text"))
-    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("size"), fp.signature(F.col("text")).alias("sig"))
+def _signed_documents(t, kind):
+    docs = spread(t.documents.withColumn("kind", kind).filter("kind is not null and text is not null").select("doc_id", "kind", "text"))
+    return docs.select(F.col("doc_id").alias("id"), "kind", F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("size"), fp.signature(F.col("text")).alias("sig"))
 
 
 @query(f"with {_SIGNATURES} select doc_id, min(doc_id) over w as class_id, count(*) over w as n from sig where lang is not null and size is not null window w as (partition by lang, size, v)")
 def neardup_members(t):
     """Each document that takes part in neardup_links with its class there, so that every link can be told by document."""
-    return dedup.near_duplicate_members(_signed_documents(t)).withColumnRenamed("id", "doc_id")
+    return dedup.near_duplicate_members(_signed_documents(t, F.col("lang"))).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""with {_SIGNATURES},
+cls as (select size, v, min(doc_id) as id, count(*) as n from sig where size is not null group by size, v),
+p as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] = z[2])::int)) / 128.0::double as similarity
+      from cls a join cls b on a.id < b.id and (2 * least(a.size, b.size) >= greatest(a.size, b.size) or least(a.size, b.size) <= 0))
+select id_a, id_b, similarity::double as similarity, n_a, n_b from p where similarity >= 64 / 128.0 and similarity < 1""")
+def neardup_all_links(t):
+    """Near duplicates among all documents with a text, whatever their language label, odd or null ones too, from 64 of
+    128 positions: pairs of classes of copies, whose documents neardup_all_members names."""
+    return dedup.near_duplicate_classes(_signed_documents(t, F.lit("document")))
+
+
+@query(f"with {_SIGNATURES} select doc_id, min(doc_id) over w as class_id, count(*) over w as n from sig where size is not null window w as (partition by size, v)")
+def neardup_all_members(t):
+    """Each document with a text and its class in neardup_all_links."""
+    return dedup.near_duplicate_members(_signed_documents(t, F.lit("document"))).withColumnRenamed("id", "doc_id")
 
 
 @query(r"""select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(

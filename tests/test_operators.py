@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -169,6 +170,20 @@ def test_members_give_every_linked_document(spark, monkeypatch):
     assert rows(links.select("a", "b")) == sorted([(a, b) for a in range(1, 9) for b in (20, 21, 22)], key=repr)
 
 
+def test_sketches_never_drop_a_pair(spark):
+    r = random.Random(3)
+    sig = lambda: [r.randrange(2**32) for _ in range(128)]
+    pairs = []
+    for same in (0, 63, 64, 65, 100, 127, 128) * 5:
+        a, b = sig(), sig()
+        for k in r.sample(range(128), same):
+            b[k] = a[k]
+        pairs.append((same, a, b))
+    df = spark.createDataFrame(pairs, "same int, a array<long>, b array<long>")
+    got = df.select("same", dedup.least_differing(dedup.sketch(F.col("a")), dedup.sketch(F.col("b"))).alias("d")).collect()
+    assert all(x.d <= 128 - x.same for x in got) and all(x.d > 80 for x in got if x.same == 0)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (3, None), (2, 1)] + [(200, 200 + i) for i in range(1, 60)], "a long, b long")
     got = {r.v: r.root for r in graph.components(links).collect()}

@@ -16,6 +16,17 @@ def test_same_as_sql(spark, db, small, name):
     assert compare(spark, db, QUERIES[name], SQL[name], small) == ""
 
 
+def test_language_labels_do_not_part_near_duplicates(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    text, other = " ".join(words), " ".join([*words[:58], "x", "y"])
+    data = [(1, text, "EN"), (2, other, "en"), (3, other, None), (4, text.upper(), "de-x"), (5, None, "en"), (6, text, None)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    links = [(r.id_a, r.id_b, r.n_a, r.n_b) for r in QUERIES["neardup_all_links"](spark, str(tmp_path)).collect()]
+    members = sorted((r.doc_id, r.class_id) for r in QUERIES["neardup_all_members"](spark, str(tmp_path)).collect())
+    assert links == [(1, 2, 3, 2)] and members == [(1, 1), (2, 2), (3, 2), (4, 1), (6, 1)]
+    assert QUERIES["neardup_links"](spark, str(tmp_path)).count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
