@@ -11,7 +11,8 @@ from siftmill.functions.fingerprints import PERMUTATIONS, minhash_similarity
 from siftmill.operators.graph import components
 from siftmill.shared import cut, join_by_key
 
-#: Two bands of equal values out of 64 are found for certain if more than 64 of 128 positions agree.
+#: One band of two equal values out of 64 is certain if more than 64 of 128 positions agree; for exactly 64, one in each
+#: band, the four crossings of the first two bands are added.
 BANDS, ROWS = 64, 2
 MIN_SIZE_RATIO = 0.5
 MIN_SIMILARITY = 0.5
@@ -84,14 +85,21 @@ def near_duplicate_classes(records: DataFrame, min_similarity: float = MIN_SIMIL
 
     ``records``: id, kind, size, sig (array of 128 numbers). A class is named by its lowest id and holds n records.
     Pairs have one kind, a size ratio of at least one half (if both sizes are positive) and
-    min_similarity <= similarity < 1. Found by 64 bands of two values, which is certain above 64 equal positions.
+    min_similarity <= similarity < 1. Found by 64 bands of two values and, where pairs of just 64 equal positions count,
+    by the crossings of the first two bands; this is certain from 64 equal positions, the least that may be asked for.
     Sketches travel with the bands, so only pairs that can be similar enough fetch their signatures.
     """
+    if min_similarity < MIN_SIMILARITY:
+        raise ValueError(f"pairs below a similarity of {MIN_SIMILARITY} are not found for certain")
     classes = cut(
         records.filter("kind is not null").groupBy("kind", "size", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")),
         "near-classes",
     ).df.filter("sig is not null")  # here, as a filter on a fingerprint not written yet would compute it twice
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64("kind", k, F.element_at("sig", k * ROWS + 1), F.element_at("sig", k * ROWS + 2))))
+    at = [(k * ROWS + 1, k * ROWS + 2) for k in range(BANDS)]
+    if PERMUTATIONS * min_similarity <= BANDS:
+        at += [(a, b) for a in at[0] for b in at[1]]
+    places = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(at)))
+    band = F.explode(F.transform(places, lambda p: F.xxhash64("kind", p.k, F.element_at("sig", p.a), F.element_at("sig", p.b))))
     posts = classes.select("id", "size", sketch(F.col("sig")).alias("sketch"), band.alias("band"))
     lists = posts.groupBy("band").agg(F.count(F.lit(1)).alias("len")).filter("len > 1")
     linked = cut(posts.join(lists, "band").select("band", "id", "size", "sketch", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")), "near-posts").df

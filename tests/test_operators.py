@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftmill import shared
@@ -170,6 +171,19 @@ def test_members_give_every_linked_document(spark, monkeypatch):
     assert rows(links.select("a", "b")) == sorted([(a, b) for a in range(1, 9) for b in (20, 21, 22)], key=repr)
 
 
+def test_pairs_with_one_match_in_each_band(spark):
+    r, data = random.Random(5), []
+    for i in range(40):
+        one = [10_000 * i + k for k in range(128)]
+        two = list(one)
+        for k in range(64):
+            two[2 * k + r.randrange(2)] += 500
+        data += [(2 * i, "k", 10, one), (2 * i + 1, "k", 10, two)]
+    assert rows(dedup.near_duplicate_classes(near_records(spark, data)).select("id_a", "id_b", "similarity")) == sorted([(2 * i, 2 * i + 1, 0.5) for i in range(40)], key=repr)
+    with pytest.raises(ValueError):
+        dedup.near_duplicate_classes(near_records(spark, data), 0.49)
+
+
 def test_sketches_never_drop_a_pair(spark):
     r = random.Random(3)
     sig = lambda: [r.randrange(2**32) for _ in range(128)]
