@@ -154,32 +154,30 @@ def _lower_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*at, len(text)]
 
 
-def _clean(grams, mark: str):
+def _clean(parts: list, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = grams.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            maps = [None] * len(texts)
             lows: list[bytes] = [(t or "").lower().encode("utf-8", "replace") for t in texts]
             cuts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for a, b in _chunks(lows):
-                for doc, _, s, e in known.scan(lows[a:b]):
-                    cuts[a + doc].append((s, e))
+            for grams in parts:  # all parts scan the text as it came, so what is cut does not depend on the split
+                known = grams.value
+                for a, b in _chunks(lows):
+                    for doc, _, s, e in known.scan(lows[a:b]):
+                        cuts[a + doc].append((s, e))
             removed = [0] * len(texts)
             for d, spans in cuts.items():
-                low, maps[d] = _lower_map(texts[d])
+                low, at = _lower_map(texts[d])
                 raw = low.encode("utf-8", "replace")
                 keep, last = [], 0
                 for s, e in merge_spans(spans):
                     s, e = (len(raw[:x].decode("utf-8", "ignore")) for x in (s, e))
-                    s, e = maps[d][s], maps[d][e]
+                    s, e = at[s], at[e]
                     keep += [texts[d][last:s], mark]
                     last = e
                     removed[d] += e - s
                 texts[d] = "".join(keep) + texts[d][last:]
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("text",)]
-            names = [c for c in batch.schema.names if c not in ("text",)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(removed, pa.int64())], [*names, "text", "chars_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "text", "chars_removed"])
 
     return run
 
@@ -228,10 +226,5 @@ def remove_leaks(documents: DataFrame, items: DataFrame, n: int = N_WORDS, mark:
 
     Overlapping windows are one span. Null texts stay null, texts without a leak stay as they are.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("chars_removed"))
-    for g in ngram_sets(docs.sparkSession, items, n):
-        step = docs.select("doc_id", F.col("chars_removed").alias("before"), "text")
-        docs = step.mapInArrow(_clean(g, mark), "doc_id long, before long, text string, chars_removed long").select(
-            "doc_id", "text", (F.col("before") + F.col("chars_removed")).alias("chars_removed")
-        )
-    return docs
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(_clean(ngram_sets(docs.sparkSession, items, n), mark), "doc_id long, text string, chars_removed long")

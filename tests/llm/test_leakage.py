@@ -74,3 +74,13 @@ def test_item_sets_are_split_by_size(spark, monkeypatch):
     docs = [(i, items[i][1], 0) for i in range(4)]
     assert len(lk.ngram_sets(spark, spark.createDataFrame(items, ITEM))) > 1
     assert run(spark, docs, items) == {(i, i) for i in range(4)}
+
+
+def test_what_is_cut_does_not_depend_on_the_split(spark, monkeypatch):
+    first, second = " ".join(WORDS[:14]), " ".join(WORDS[8:22])  # they overlap in the document
+    items, docs = [(1, first, 0), (2, second, 0)], [(1, "before " + " ".join(WORDS[:22]) + " after", 0)]
+    clean = lambda: [tuple(r) for r in lk.remove_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), mark="*").collect()]
+    whole = clean()
+    monkeypatch.setattr(lk, "MAX_ITEM_BYTES", 40)
+    assert len(lk.ngram_sets(spark, spark.createDataFrame(items, ITEM))) == 2
+    assert clean() == whole == [(1, "before * after", len(" ".join(WORDS[:22])))]
