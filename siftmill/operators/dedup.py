@@ -130,12 +130,13 @@ def scored_links(pairs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Da
     return ok.groupBy(F.least("file_id_a", "file_id_b").alias("a"), F.greatest("file_id_a", "file_id_b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
-def near_duplicate_clusters(pairs: DataFrame, files: DataFrame, threshold: float = AUTO_THRESHOLD) -> DataFrame:
+def near_duplicate_clusters(pairs: DataFrame, files: DataFrame, threshold: float = AUTO_THRESHOLD, max_members: int = MAX_CLUSTER, oversize: bool = False) -> DataFrame:
     """Clusters (group_id, strategy, canonical_file_id, n_members, confidence, queue) of scored near-duplicate pairs.
 
     Components of the pairs, ids without a file linking but not counting; the file to keep by ``keep_order``; members whose size is below half or above twice the
     kept one's are dropped, then, farthest by log size first, those that spread the sizes beyond a ratio of two;
-    clusters of one or of more than 100 members are dropped; confidence is the least similarity between two members
+    clusters of one or of more than ``max_members`` members are dropped, with ``oversize`` the latter are kept in a queue
+    of that name; confidence is the least similarity between two members
     left, 0 if none; from ``threshold`` on a cluster is queued as auto, else review. group_id is its lowest id before
     dropping.
     """
@@ -157,7 +158,8 @@ def near_duplicate_clusters(pairs: DataFrame, files: DataFrame, threshold: float
     fits = sizes.withColumn("fits", (F.col("csize") <= 0) | (2 * F.min("size").over(run) >= F.max("size").over(run)))
     members = cut(near.join(fits.filter("fits").select("root", "size"), ["root", "size"]).select("root", "id", "canonical", "cmime"), "cluster-members").df
     counts = members.groupBy("root").agg(F.count(F.lit(1)).alias("n_members"), F.first("canonical").alias("canonical_file_id"), F.first("cmime").alias("cmime"))
-    kept = counts.filter(F.col("n_members").between(2, MAX_CLUSTER))
+    large = F.col("n_members") > max_members
+    kept = counts.filter((F.col("n_members") >= 2) & (F.lit(oversize) | ~large))
     inside = links.join(members.select(F.col("id").alias("a"), "root"), "a").join(members.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
     least = inside.filter("root = rb").groupBy("root").agg(F.min("similarity").alias("least"))
     confidence = F.coalesce("least", F.lit(0.0))
@@ -167,5 +169,5 @@ def near_duplicate_clusters(pairs: DataFrame, files: DataFrame, threshold: float
         "canonical_file_id",
         "n_members",
         confidence.alias("confidence"),
-        F.when(confidence >= threshold, "auto").otherwise("review").alias("queue"),
+        F.when(large, "oversize").when(confidence >= threshold, "auto").otherwise("review").alias("queue"),
     )

@@ -311,6 +311,24 @@ def neardup_clusters(t):
     return dedup.near_duplicate_clusters(t.scored_pairs, t.files)
 
 
+@query(f"""with recursive {_LINKS},
+n as (select c.root, f.*, {_MIME} as m from comp c join files f on f.id = c.v),
+h as (select root, first(id order by modified_at nulls last, length(path), id) as canonical, first(size order by modified_at nulls last, length(path), id) as csize,
+             first(m order by modified_at nulls last, length(path), id) as cmime from n group by root),
+p as (select n.root, n.id, n.size, canonical, csize, cmime, abs(ln(greatest(n.size, 1)) - ln(greatest(csize, 1))) as far from n join h using (root)
+      where n.id = canonical or csize <= 0 or (n.size > 0 and 2 * least(n.size, csize) >= greatest(n.size, csize))),
+q as (select *, min(size) over w as lo, max(size) over w as hi from p window w as (partition by root order by far, size range between unbounded preceding and current row)),
+k as (select * from q where csize <= 0 or 2 * lo >= hi),
+s as (select root, count(*) as n_members, first(canonical) as canonical_file_id, first(cmime) as cmime from k group by root having count(*) >= 2),
+x as (select ka.root, min(l.similarity) as least from l join k ka on ka.id = l.a join k kb on kb.id = l.b and kb.root = ka.root group by ka.root)
+select root as group_id, case when starts_with(cmime, 'image/') then 'near-dup-image' else 'near-dup-document' end as strategy, canonical_file_id, n_members,
+       coalesce(least, 0.0)::double as confidence, case when n_members > 100 then 'oversize' when coalesce(least, 0) >= 0.95 then 'auto' else 'review' end as queue
+from s left join x using (root)""")
+def neardup_all_clusters(t):
+    """The clusters of neardup_clusters and those of more than 100 members, in a queue of their own."""
+    return dedup.near_duplicate_clusters(t.scored_pairs, t.files, oversize=True)
+
+
 @query("select id as group_id, coalesce(confidence, 0) >= 0.95 as is_auto, case strategy when 'exact-hash' then 'Exact' when 'near-dup-image' then 'Image' when 'near-dup-document' then 'Document' else strategy end as label from duplicate_groups")
 def group_labels(t):
     return t.duplicate_groups.select(F.col("id").alias("group_id"), (F.coalesce("confidence", F.lit(0.0)) >= 0.95).alias("is_auto"), c.strategy_label(F.col("strategy")).alias("label"))

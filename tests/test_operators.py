@@ -223,6 +223,13 @@ def test_cluster_cap(spark):
     assert rows(dedup.near_duplicate_clusters(pairs, files)) == [(102, "near-dup-document", 102, 100, 0.96, "auto")]
 
 
+def test_large_clusters_get_their_own_queue(spark):
+    pairs, files = cluster_inputs(spark, {i: 100 for i in range(1, 202)}, [(1, i, 0.96) for i in range(2, 102)] + [(102, i, 0.96) for i in range(103, 202)])
+    want = [(1, "near-dup-document", 1, 101, 0.96, "oversize"), (102, "near-dup-document", 102, 100, 0.96, "auto")]
+    assert rows(dedup.near_duplicate_clusters(pairs, files, oversize=True)) == want
+    assert rows(dedup.near_duplicate_clusters(pairs, files, max_members=101)) == [(*want[0][:5], "auto"), want[1]]
+
+
 def test_reuse(spark):
     at = T(2020, 1, 1, 1, 1, 1, 500)
     old = spark.createDataFrame([(1, 1, "a", 5, at, "p", "f", ""), (2, 1, "a", 6, at, "q", "g", ""), (3, 1, "b", 5, at, None, "f", ""), (4, 1, "c", 5, None, "p", "f", "")], FILES)
