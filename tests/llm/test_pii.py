@@ -1,10 +1,15 @@
+import re
+from datetime import date
+
 import pytest
+from held_out_pii import DEVELOPMENT, HELD_OUT
 from hypothesis import given
 from hypothesis import strategies as st
 
-from siftmill.llm import pii
+from siftmill.llm import names, pii
+from siftmill.llm import pseudonyms as ps
 
-LEX = [("Ilmethe", "given"), ("Rose", "given"), ("Mark", "given"), ("Fennstrand", "family"), ("Archer", "family"), ("Wynquist", "family"), ("Field", "family")]
+LEX = [("Ilmethe", "given"), ("Will", "given"), ("Rose", "given"), ("Mark", "given"), ("Fennstrand", "family"), ("Archer", "family"), ("Wynquist", "family"), ("Field", "family")]
 FIND = pii.Finder(LEX)
 
 
@@ -47,30 +52,134 @@ def test_finds(text, want):
     assert finds(text) == want
 
 
-@given(st.text("0123456789", min_size=2, max_size=24), st.binary(min_size=1, max_size=8))
-def test_permutation_round_trip(digits, key):
-    new = pii.permute_digits(digits, key)
-    assert len(new) == len(digits) and new.isdigit() and pii.permute_digits(new, key, back=True) == digits
+def score(finder, texts):
+    hit = wrong = missed = 0
+    for text, want in texts:
+        got = {(k, text[s:e]) for s, e, k in finder.spans(text)}
+        hit, wrong, missed = hit + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+    return hit / (hit + missed), hit / (hit + wrong)
+
+
+@pytest.mark.parametrize("lexicon", [LEX, []])
+def test_texts_no_rule_was_written_from(lexicon):
+    """Measured: recall 0.91, precision 1.0 on the held-out texts (names alone 0.88), 1.0 and 1.0 on the development ones."""
+    finder = pii.Finder(lexicon)
+    recall, precision = score(finder, HELD_OUT)
+    assert recall >= 0.9 and precision >= 0.97
+    recall, precision = score(finder, DEVELOPMENT)
+    assert recall >= 0.95 and precision >= 0.95
+
+
+def test_without_a_vocabulary_lexicon_and_labels_remain():
+    bare = pii.Finder(LEX, vocabulary=None)
+    assert [(k, "Signed by Ilmethe Fennstrand today"[s:e]) for s, e, k in bare.spans("Signed by Ilmethe Fennstrand today")] == [("name", "Ilmethe Fennstrand")]
+
+
+def test_spelling_model_on_names_left_out():
+    given = [a + b for a in ("tav", "orl", "nym", "ilm", "hal", "quor", "vel", "wen") for b in ("isk", "ethe", "andro", "ovic", "imar")]
+    ordinary, _ = names.read_vocabulary(names.DEFAULT_VOCABULARY)
+    plain = sorted(w for w in ordinary if len(w) > 3)
+    w = names.fit_spelling(given[::2], plain[::2])
+    like = lambda words: sum(names._vector(x) @ w > 0 for x in words) / len(words)
+    assert like(given[1::2]) >= 0.9 and like(plain[1:2001:2]) <= 0.02
+    assert names.fit_spelling([], plain) is None
+
+
+@given(st.text("0123456789ABCXYZ", min_size=2, max_size=24), st.binary(min_size=1, max_size=8))
+def test_permutation_round_trip(value, key):
+    new = ps.permute_chars(value, key)
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in value] and ps.permute_chars(new, key, back=True) == value
 
 
 def test_permutation_is_one_to_one():
     for n in (2, 3):
-        assert len({pii.permute_digits(str(i).zfill(n), b"k") for i in range(10**n)}) == 10**n
+        assert len({ps.permute_chars(str(i).zfill(n), b"k") for i in range(10**n)}) == 10**n
+    odd = {ps.permute_chars(str(i).zfill(3), b"k", valid=lambda x: int(x) % 7 == 0) for i in range(0, 1000, 7)}
+    assert len(odd) == len(range(0, 1000, 7)) and all(int(x) % 7 == 0 for x in odd)
+
+
+IDS = ["123-45-6789", "974 86 2601", "QQ206696C", "AB 12 34 56 C", "12345678Z", "80403313-R", "X1234567L", "1 85 05 78 006 084 91", "9 74 02 99 138 751 88", "X6842T92697", "L01X00T471", "2 85 05 2A 006 084 91"]
+
+
+@pytest.mark.parametrize("value", IDS)
+def test_identity_pseudonyms_keep_form_and_validity(value):
+    new = ps.id_pseudonym(value, b"k" * 16)
+    assert new != value and [c.isdigit() for c in new] == [c.isdigit() for c in value] and len(new) == len(value)
+    assert ps.id_checks(new) == ps.id_checks(value) and ps.id_pseudonym(new, b"k" * 16, back=True) == value
+
+
+@given(st.integers(0, 10**8 - 1))
+def test_dni_letters_are_computed_anew(n):
+    value = f"{n:08d}{ps.DNI_LETTERS[n % 23]}"
+    new = ps.id_pseudonym(value, b"key of sixteen b")
+    assert ps.id_checks(new) and ps.id_pseudonym(new, b"key of sixteen b", back=True) == value
+
+
+def test_checks():
+    good = ["123-45-6789", "QQ206696C", "AB123456C", "12345678Z", "X1234567L", "185057800608491"]
+    bad = ["000-12-3456", "666-12-3456", "123-00-6789", "123-45-0000", "DA123456C", "12345678A", "185057800608492"]
+    assert all(ps.id_checks(x) for x in good) and not any(ps.id_checks(x) for x in bad) and ps.id_checks("X6842T92697") is None
+
+
+@pytest.mark.parametrize(
+    "kind,a,b",
+    [
+        ("phone", "+44 20 7946 0293", "(020) 7946 0293"),
+        ("phone", "1-639-555-0192 ext. 37", "(639) 555-0192"),
+        ("phone", "+49 30 23125341", "030/23125-341"),
+        ("phone", "+33 1 99 00 09 60", "01.99.00.09.60"),
+        ("idnum", "QQ206696C", "QQ 20 66 96 C"),
+        ("idnum", "123-45-6789", "123 45 6789"),
+        ("date", "1988-02-29", "29/02/1988"),
+        ("date", "4 July 1976", "1976/07/04"),
+        ("email", "a.b@c.example", "A.B (at) c [dot] example"),
+        ("name", "Stellstrand, Jorisk", "JORISK R. STELLSTRAND"),
+        ("street", "12 Maple Street, Apt 3", "12 maple street Apt 3"),
+    ],
+)
+def test_equal_values_stay_linked(kind, a, b):
+    key = b"key of sixteen b"
+    if kind == "phone":
+        line = lambda v: re.sub(r"\D", "", ps.split_phone(ps.phone_pseudonym(v, key))[1])
+    elif kind == "date":
+        line = lambda v: ps.parse_date(ps.date_pseudonym(v, key))[0]
+    else:
+        line = lambda v: re.sub(r"[\s-]", "", pii.placeholder(kind, v, key))
+    assert line(a) == line(b)
+
+
+def test_country_codes_and_plans_are_kept():
+    key = b"key of sixteen b"
+    new = ps.phone_pseudonym("+44 20 7946 0293", key)
+    assert new.startswith("+44 ") and new != "+44 20 7946 0293" and ps.phone_pseudonym(new, key, back=True) == "+44 20 7946 0293"
+    for n in range(2035550100, 2035550160):
+        assert ps.valid_nanp(ps.phone_pseudonym(str(n), key))
+
+
+@given(st.dates(min_value=date(1900, 1, 1), max_value=date(2099, 12, 31)))
+def test_dates_stay_dates(day):
+    new = ps.date_pseudonym(day.isoformat(), b"k" * 16)
+    assert date.fromisoformat(new) and ps.date_pseudonym(new, b"k" * 16, back=True) == day.isoformat()
+    assert ps.parse_date(ps.date_pseudonym(day.strftime("%d.%m.%Y"), b"k" * 16))[0].isoformat() == new
+
+
+def test_odd_dates():
+    assert ps.date_pseudonym("1988-02-30", b"k") == ps.date_pseudonym("1492-10-12", b"k") == "-"
 
 
-def test_redaction_links_equal_values():
-    a, b = "Call (358) 555-0171 now", "fax/voice (358) 555-0171"
-    ra, rb = (pii.redact(t, FIND.spans(t), b"k") for t in (a, b))
-    assert ra.startswith("Call [PHONE (") and ra.endswith(" now") and "555-0171" not in ra
-    assert ra[len("Call ") : -len(" now")] == rb[len("fax/voice ") :]
-    assert pii.redact(a, FIND.spans(a), b"other") != ra
+def test_redaction_keeps_the_rest():
+    text = "Call (358) 555-0171 now, born on 1988-02-29."
+    out = pii.redact(text, FIND.spans(text), b"k" * 16)
+    assert re.fullmatch(r"Call \[PHONE \(\d{3}\) \d{3}-\d{4}\] now, born on \[DATE \d{4}-\d\d-\d\d\]\.", out) and "555-0171" not in out
 
 
 def test_operators(spark):
     docs = spark.createDataFrame([(1, "a@b.example and a@b.example", "x"), (2, None, "x"), (3, "", "x"), (None, "SSN QQ206696C", "x"), (4, "x " * 500_000 + "c@d.example", "x"), (1, "a@b.example and a@b.example", "x")], "doc_id long, text string, pii_kind string")
-    names = spark.createDataFrame(LEX + [(None, "given"), ("x", None)], "name string, name_part string")
-    got = sorted((tuple(r) for r in pii.find_pii(docs, names).distinct().collect()), key=repr)
+    known = spark.createDataFrame(LEX + [(None, "given"), ("x", None)], "name string, name_part string")
+    got = sorted((tuple(r) for r in pii.find_pii(docs, known).distinct().collect()), key=repr)
     assert got == sorted([(1, "email", "a@b.example"), (4, "email", "c@d.example"), (None, "idnum", "QQ206696C")], key=repr)
-    red = {(r.doc_id, r.finds): r.text for r in pii.redact_pii(docs, names).collect()}
+    red = {(r.doc_id, r.finds): r.text for r in pii.redact_pii(docs, known, b"k" * 16).collect()}
     assert red[2, 0] is None and red[3, 0] == "" and red[1, 2].count("[EMAIL ") == 2 and "b.example" not in red[1, 2]
-    assert pii.find_pii(docs.limit(0), names.limit(0)).count() == 0
+    assert pii.find_pii(docs.limit(0), known.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        pii.redact_pii(docs, known, b"short")
