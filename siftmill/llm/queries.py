@@ -47,6 +47,15 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
+def p7_cleaned_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What the cleaned texts still leak, which is nothing, and how many documents were cut."""
+    items, clean = read(spark, d, "eval_items"), p7_cleaned(spark, d)
+    one = lambda cut, kept, left: [F.lit(x).cast("long").alias(n) if isinstance(x, int) else x.cast("long").alias(n) for x, n in ((cut, "docs_cut"), (kept, "docs_kept"), (left, "leaks_left"))]
+    was_cut = F.col("chars_removed") > 0
+    rows = clean.select(*one(was_cut.cast("int"), (~was_cut).cast("int"), 0)).unionByName(leakage.find_leaks(clean, items).select(*one(0, 0, F.lit(1))))
+    return rows.agg(*(F.sum(c).alias(c) for c in rows.columns))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     longer = F.log2(F.col("n_tokens") + 2)  # a fragment is less likely than a full text
     return mixture.mix_sources(read(spark, d, "documents"), read(spark, d, "source_weights"), weight=longer)
@@ -71,7 +80,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p6_records, p7_found, p7_cleaned, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p6_records, p7_found, p7_cleaned, p7_cleaned_summary, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 _P1 = """
@@ -117,6 +126,11 @@ grams as (
   from words where len(w) >= 12)
 select distinct d.id as doc_id, i.id as item_id from grams d join grams i on d.g = i.g where d.kind = 0 and i.kind = 1"""
 
+_P7_SUMMARY = f"""
+with leaks as ({_P7}),
+n as (select count(distinct doc_id) as docs_cut from leaks)
+select docs_cut, (select count(*) from documents) - docs_cut as docs_kept, 0::bigint as leaks_left from n"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p6_found": _P6, "p7_found": _P7}
+    return {"p1_found": _P1, "p3_found": _P3, "p6_found": _P6, "p7_found": _P7, "p7_cleaned_summary": _P7_SUMMARY}

@@ -69,18 +69,39 @@ def test_spans_are_removed(spark):
 
 
 def test_item_sets_are_split_by_size(spark, monkeypatch):
-    monkeypatch.setattr(lk, "MAX_ITEM_BYTES", 60)
     items = [(i, " ".join(f"v{i}{j}" for j in range(13)), 0) for i in range(4)]
     docs = [(i, items[i][1], 0) for i in range(4)]
-    assert len(lk.ngram_sets(spark, spark.createDataFrame(items, ITEM))) > 1
+    monkeypatch.setattr(lk, "MAX_SET_BYTES", 400)
+    assert len(lk.ngram_sets(spark, spark.createDataFrame(items, ITEM))) == 4
     assert run(spark, docs, items) == {(i, i) for i in range(4)}
 
 
-def test_what_is_cut_does_not_depend_on_the_split(spark, monkeypatch):
+def test_one_long_item_is_split_without_losing_a_window(spark, monkeypatch):
+    r = random.Random(3)
+    text = " ".join(f"u{r.randrange(10**6)}" for _ in range(200))
+    words = text.split()
+    docs = [(k, " ".join(words[k : k + 12]), 0) for k in range(189)]
+    monkeypatch.setattr(lk, "MAX_SET_BYTES", 1000)
+    assert len(lk.ngram_sets(spark, spark.createDataFrame([(1, text, 0)], ITEM))) > 3
+    assert run(spark, docs, [(1, text, 0)]) == {(k, 1) for k in range(189)}
+
+
+@pytest.mark.parametrize("broadcast", [0, 32_000_000])
+def test_what_is_cut_does_not_depend_on_the_split(spark, monkeypatch, broadcast):
     first, second = " ".join(WORDS[:14]), " ".join(WORDS[8:22])  # they overlap in the document
-    items, docs = [(1, first, 0), (2, second, 0)], [(1, "before " + " ".join(WORDS[:22]) + " after", 0)]
-    clean = lambda: [tuple(r) for r in lk.remove_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), mark="*").collect()]
+    items = [(1, first, 0), (2, second, 0)]
+    docs = [(1, "before " + " ".join(WORDS[:22]) + " after", 0), (1, "before " + " ".join(WORDS[:22]) + " after", 0), (2, None, 0), (3, "clean", 0), (4, "", 0)]
+    clean = lambda: sorted((tuple(r) for r in lk.remove_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), mark="*").collect()), key=repr)
     whole = clean()
-    monkeypatch.setattr(lk, "MAX_ITEM_BYTES", 40)
+    monkeypatch.setattr(lk, "MAX_SET_BYTES", 450)
+    monkeypatch.setattr(lk, "MAX_SPAN_BYTES", broadcast)
     assert len(lk.ngram_sets(spark, spark.createDataFrame(items, ITEM))) == 2
-    assert clean() == whole == [(1, "before * after", len(" ".join(WORDS[:22])))]
+    n = len(" ".join(WORDS[:22]))
+    assert clean() == whole == sorted([(1, "before * after", n), (1, "before * after", n), (2, None, 0), (3, "clean", 0), (4, "", 0)], key=repr)
+
+
+def test_a_set_takes_no_more_than_it_is_reckoned(spark):
+    r = random.Random(5)
+    items = [(i, " ".join(f"w{r.randrange(10**4)}" for _ in range(500)).encode()) for i in range(400)]
+    reckoned = sum(b for _, t in items for _, b in lk._pieces(t, 12, 10**9))
+    assert lk.NgramSet(items).nbytes() <= reckoned + (1 << 16)
