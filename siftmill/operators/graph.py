@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.shared import Table, cut, hot_limit
 
-#: Bound against endless loops; the rounds needed grow with the logarithm of the longest path.
+#: Bound against endless loops; the rounds needed grow with the logarithm of the longest path. Beyond it is an error.
 MAX_ROUNDS = 80
+#: Edges that one task contracts in one go (16 bytes each and their sorted ends); more take distributed rounds.
+ONE_TASK_EDGES = 1_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -40,15 +46,47 @@ def lookup(df: DataFrame, key: str, table: DataFrame, rows: int) -> DataFrame:
     return warm.unionByName(cold)
 
 
+def hang_on_smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, v) of every end v that is not itself the smallest of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, w = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[w])
+        before = label.copy()
+        np.minimum.at(label, before[u], low)  # hook the roots of both ends, then the ends themselves
+        np.minimum.at(label, before[w], low)
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+        if np.array_equal(label, before):
+            break
+    off = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[off]], ids[off]
+
+
+def _contract_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = list(batches)
+    if got:
+        table = pa.Table.from_batches(got)
+        root, v = hang_on_smallest(table.column("a").to_numpy(), table.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(v)], ["a", "b"])
+
+
 def star_contraction(edges: Table, keep: bool = True) -> Table:
     """Edges (a < b) of a star forest with the components of ``edges``: each vertex hangs on its component's smallest.
 
     Alternately link all larger, then all smaller neighbours of a vertex to its smallest neighbour. Either step makes
-    the sum of all ends smaller if it changes any edge, so an equal sum is the end. ``keep`` spares the input table.
+    the sum of all ends smaller if it changes any edge, so an equal sum is the end. What fits one task is contracted
+    there. ``keep`` spares the input table.
     """
     ends = {"ends": (F.col("a") + F.col("b")).cast("decimal(20,0)")}
     e, last = edges, None
     for _ in range(MAX_ROUNDS):
+        if e.rows <= ONE_TASK_EDGES:
+            after = cut(e.df.select("a", "b").coalesce(1).mapInArrow(_contract_here, "a long, b long"), "star")
+            if not (keep and e is edges):
+                e.drop()
+            return after
         two = both_ways(e.df)
         least = two.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("deg"))
         large = attach(two, least, 2 * e.rows).filter("w > v").select(F.col("w").alias("v"), F.col("m").alias("w"))
@@ -63,9 +101,9 @@ def star_contraction(edges: Table, keep: bool = True) -> Table:
             e.drop()
         e = after
         if after.sums["ends"] == last:
-            break
+            return e
         last = after.sums["ends"]
-    return e
+    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
 
 
 def components(links: DataFrame) -> DataFrame:

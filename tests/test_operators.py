@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,11 +199,35 @@ def test_sketches_never_drop_a_pair(spark):
     assert all(x.d <= 128 - x.same for x in got) and all(x.d > 80 for x in got if x.same == 0)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", one_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (3, None), (2, 1)] + [(200, 200 + i) for i in range(1, 60)], "a long, b long")
     got = {r.v: r.root for r in graph.components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in (100, 101, 102)}, **{200 + i: 200 for i in range(60)}}
     assert rows(graph.components(links.limit(0))) == []
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 0)
+    with pytest.raises(RuntimeError):
+        graph.components(links)
+
+
+def test_one_task_contraction_against_union_find():
+    r = np.random.default_rng(8)
+    for n, m in ((2, 1), (50, 40), (4000, 3000), (4000, 9000)):
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        up = list(range(n))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = sorted((root(x), root(y)))
+            up[y] = x
+        got = dict(zip(*(x.tolist() for x in graph.hang_on_smallest(a, b)[::-1])))
+        assert got == {x: root(x) for x in {*a.tolist(), *b.tolist()} if root(x) != x}
 
 
 def cluster_inputs(spark, sizes, pairs):
