@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.operators.graph import MAX_ROUNDS, both_ways, lookup, star_contraction
+from siftmill.operators.graph import MAX_ROUNDS, ONE_TASK_EDGES, both_ways, lookup, star_contraction
 from siftmill.shared import Table, cut
 
-#: Leaf and chain layers go on while each pair of them removes at least this share of the edges.
+#: Leaf and chain layers go on while each pair of them removes at least this share of the edges and the core is more than
+#: one task contracts.
 WORTHWHILE = 0.15
 
 def clean_links(pairs: DataFrame, a: Column, b: Column, keep: Column) -> DataFrame:
@@ -99,6 +100,8 @@ def _compress_chains(edges: Table, layers: list[Table]) -> Table:
         state = Table(after.df.drop("moved"), after.path, after.rows, after.sums)
         if not after.sums["moved"]:
             break
+    else:
+        raise RuntimeError(f"chains not ranked after {MAX_ROUNDS} rounds")
     sides = state.df.groupBy("v").agg(
         F.min(F.when(F.col("done"), F.struct("dist", "pw"))).alias("near"),
         F.min(F.when(F.col("done"), F.col("pw"))).alias("e1"),
@@ -144,8 +147,10 @@ def connected_groups(links: DataFrame) -> DataFrame:
             if after is not edges:
                 edges.drop()
             edges = after
-        if before - edges.rows < WORTHWHILE * before:
+        if before - edges.rows < WORTHWHILE * before or edges.rows <= ONE_TASK_EDGES:
             break
+    else:
+        raise RuntimeError(f"leaves and chains left after {MAX_ROUNDS} rounds")
     if edges.rows:
         _solve_core(edges, layers)
     if not layers:

@@ -1,13 +1,22 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siftmill.llm import components
 from siftmill.llm.components import clean_links, connected_groups
 from siftmill.operators import graph
 
 
+@pytest.fixture(params=[0, 1_000_000], ids=["rounds", "one task"], autouse=True)
+def where(request, monkeypatch):
+    """Every test runs with the distributed rounds and with cores that one task contracts."""
+    for module in (graph, components):
+        monkeypatch.setattr(module, "ONE_TASK_EDGES", request.param)
+
+
 def union_find(pairs):
     up = {}
 
@@ -62,3 +71,10 @@ def test_links_are_filtered(spark):
     df = spark.createDataFrame([(1, 2, 0.5), (2, 3, 1.0), (3, 4, 0.49), (4, 5, 1.01), (5, 6, float("nan")), (6, 7, None)], "x long, y long, similarity double")
     keep = F.col("similarity").between(0.5, 1.0) & ~F.isnan("similarity")
     assert sorted(tuple(r) for r in clean_links(df, F.col("x"), F.col("y"), keep).collect()) == [(1, 2), (2, 3)]
+
+
+def test_unfinished_work_is_an_error(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(0, 200)]
+    monkeypatch.setattr(components, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        groups(spark, pairs + [(0, 200), (7, 500), (7, 501)])
