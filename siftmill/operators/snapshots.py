@@ -1,23 +1,23 @@
 """What changed between full snapshots, from a bucketed index of key to hash.
 
-The index of a snapshot holds for each key a hash of its compared values and where its row is, nothing else, bucketed
-by key. A new snapshot's rows probe the index of the one before: a key without entry was added, an entry without row
-removed, a differing hash changed. Old values are fetched by row id for changed keys only. Then the new snapshot's
-index takes the old one's place.
+The index holds for each key of each series of snapshots a hash of its compared values and where its row is, bucketed by
+key. A delivered snapshot's rows probe it: a key without entry was added, an entry without row removed, a differing hash
+changed. The same join gives the entries of the next index, which takes the old one's place once it is written. Old
+values are fetched by row id for changes only. The index lies in a folder of the caller's and serves later sessions.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmill.shared import delete_path, shared_dir
+from siftmill.shared import bounded, cut, table_path
+from siftmill.versions import VersionedTable, buckets_for
 
-#: Buckets of an index; each holds rows of one hash of the key, whatever series they belong to.
-BUCKETS = 48
+KEY = ["series", "key"]
 
 
 def seconds(c: Column) -> Column:
@@ -45,60 +45,53 @@ def key_entries(rows: DataFrame, series: str, turn: str, key: str, row_id: str,
 
 
 class SnapshotIndex:
-    """A bucketed key-to-hash table in the shared folder, kept for the next snapshot to probe.
+    """The index of the last snapshot of every series, in versions below ``folder``.
 
-    ``turn`` of a stored entry is that of the snapshot that will probe it, so an index over the whole history of many
-    series serves all its probes in one join: entries of snapshot k are stored under k + 1. Keeping one snapshot per
-    series, ``advance`` is the periodic form: probe, then swap.
+    A version's rows are (series, key, row_id, hash) as of its delivery and (turn, change_kind, old_id), how the key came
+    to differ from the version before; removed keys stay for one version, without a hash.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
-        self.spark, self.buckets, self.table = spark, buckets, None
-
-    def store(self, entries: DataFrame) -> None:
-        """Swap in the index of these entries. The one before stays readable for probes not yet run; ``retire`` it."""
-        name = f"siftmill_index_{uuid.uuid4().hex[:12]}"
-        ahead = entries.withColumn("turn", F.col("turn") + 1)
-        (
-            ahead.repartition(self.buckets, "series", "turn", "key")
-            .write.bucketBy(self.buckets, "series", "turn", "key")
-            .option("path", f"{shared_dir(self.spark)}/{name}")
-            .format("parquet")
-            .saveAsTable(name)
-        )
-        self.table = name
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.table = spark, VersionedTable(spark, folder, KEY)
 
-    def probe(self, entries: DataFrame, turns: DataFrame) -> DataFrame:
-        """(series, turn, key, change_kind, row_id, old_id) of the snapshots listed in ``turns`` (series, turn).
+    def advance(self, entries: DataFrame, delivered: DataFrame, n_delivered: int, buckets: int | None = None) -> DataFrame:
+        """Take in one delivery: (series, turn, key, change_kind, row_id, old_id) against the index kept, which the
+        delivery then replaces.
 
-        ``turns`` names the snapshots delivered, so that an empty one removes all and a series that has no further
-        snapshot removes nothing.
+        ``entries`` (series, key, row_id, hash) are the rows delivered, ``delivered`` (series, turn) the ``n_delivered``
+        snapshots, one for each series, so that an empty one removes all; other series stay as they are. Turn 1 is a
+        series' first snapshot and has no changes. The index before stays readable until ``retire``. ``buckets`` is for
+        a new index; one that has outgrown its buckets by far is given more.
         """
-        if self.table is None:
-            raise ValueError("store an index first")
-        new = entries.select("series", "turn", "key", "row_id", "hash", F.lit(True).alias("now"))
-        old = self.spark.table(self.table).select("series", "turn", "key", F.col("row_id").alias("old_id"), F.col("hash").alias("old_hash"), F.lit(True).alias("then"))
-        both = new.join(old, ["series", "turn", "key"], "full_outer")
-        kind = (
-            F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("hash") != F.col("old_hash"), "changed")
+        before = self.table.version()
+        note = self.table.note(before) or {}
+        count = note.get("buckets") or buckets or buckets_for(entries.count())
+        if buckets_for(note.get("rows", 0)) > 2 * count:
+            count = buckets_for(note["rows"])
+        came = bounded(delivered.select("series", F.col("turn").cast("long").alias("turn")), n_delivered)
+        new = entries.select(*KEY, "row_id", "hash", F.lit(True).alias("now"))
+        old = self.table.read(before)
+        if old is None:
+            both = new.withColumns({"o_id": F.lit(None).cast("long"), "o_hash": F.lit(None).cast("binary")})
+        else:
+            kept = old.filter("hash is not null").select(*KEY, F.col("row_id").alias("o_id"), F.col("hash").alias("o_hash"))
+            both = new.join(kept, KEY, "full_outer")
+        there = F.col("turn").isNotNull()
+        kind = F.when(F.coalesce(F.col("turn"), F.lit(1)) < 2, F.lit(None)).when(F.col("now").isNull(), "removed").when(F.col("o_hash").isNull(), "added").when(F.col("hash") != F.col("o_hash"), "changed")
+        after = both.join(came, "series", "left").select(
+            *KEY,
+            F.when(there, F.col("row_id")).otherwise(F.col("o_id")).alias("row_id"),
+            F.when(there, F.col("hash")).otherwise(F.col("o_hash")).alias("hash"),
+            "turn",
+            kind.cast("string").alias("change_kind"),
+            F.when(there, F.col("o_id")).alias("old_id"),
         )
-        found = both.select("series", "turn", "key", kind.alias("change_kind"), "row_id", "old_id").filter("change_kind is not null")
-        return found.join(turns.select("series", "turn"), ["series", "turn"], "left_semi")
-
-    def advance(self, entries: DataFrame, turns: DataFrame) -> DataFrame:
-        """Changes of these snapshots against the index kept, which they then replace."""
-        previous = self.table
-        changes = self.probe(entries, turns) if previous else None
-        self.store(entries)
-        if changes is None:
-            kinds = entries.limit(0).select("series", "turn", "key", F.lit("").alias("change_kind"), "row_id", F.col("row_id").alias("old_id"))
-            return kinds
-        return changes
+        v = self.table.write(after.filter("hash is not null or change_kind is not null"), count, arranged=note.get("buckets") == count)
+        return self.table.read(v).filter("change_kind is not null").select("series", "turn", "key", "change_kind", "row_id", "old_id")
 
-    def retire(self, table: str) -> None:
-        """Delete an index that has been replaced, once its probes have run."""
-        self.spark.sql(f"drop table if exists {table}")
-        delete_path(self.spark, f"{shared_dir(self.spark)}/{table}")
+    def retire(self) -> None:
+        """Delete the indexes that have been replaced, once what was found with them has been written."""
+        self.table.retire()
 
 
 def completed_snapshots(scans: DataFrame) -> DataFrame:
@@ -109,23 +102,36 @@ def completed_snapshots(scans: DataFrame) -> DataFrame:
     return one.select("scan_id", "series", F.row_number().over(order).cast("long").alias("turn"))
 
 
-def path_changes(files: DataFrame, scans: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def path_changes(files: DataFrame, scans: DataFrame, folder: str | None = None) -> DataFrame:
     """(scan_id, path, change_kind, row_id, old_id) between consecutive completed scans of each archive root.
 
     'changed' compares size and modified_at cut to seconds, null being equal to null only. Of a path listed twice the
     row with the highest id counts; rows without a path are ignored. A first scan has no changes; a scan that lists
     nothing removes every path of the one before. Empty tables give no rows.
+
+    The history is replayed as it was delivered: the k-th scans of all roots are one delivery, so the rounds are as many
+    as the longest series has scans. Rows are arranged in the index's buckets once; no later round shuffles them. The
+    index is left in ``folder``, by default one below the shared folder that ends with the application.
     """
-    snapshots = completed_snapshots(scans)
-    rows = files.select("id", "scan_id", "path", "size", "modified_at").join(snapshots, "scan_id")
-    entries = key_entries(rows, "series", "turn", "path", "id", [F.col("size"), seconds(F.col("modified_at"))])
-    index = SnapshotIndex(files.sparkSession, buckets)
-    index.store(entries)
-    # the entries of the probe are the index's own, one turn back: stored once, read twice
-    probing = files.sparkSession.table(index.table).withColumn("turn", F.col("turn") - 1)
-    turns = snapshots.filter("turn > 1")
-    found = index.probe(probing, turns)
-    return found.join(snapshots, ["series", "turn"]).select("scan_id", F.col("key").alias("path"), "change_kind", "row_id", "old_id")
+    spark = files.sparkSession
+    folder = folder or table_path(spark, "snapshots")
+    snapshots = cut(completed_snapshots(scans), "snapshots")
+    last = snapshots.df.agg(F.max("turn")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], "scan_id long, path string, change_kind string, row_id long, old_id long")
+    buckets = buckets_for(files.count())
+    rows = files.select("id", "scan_id", "path", "size", "modified_at").filter("path is not null").join(bounded(snapshots.df, snapshots.rows), "scan_id")
+    placed = rows.withColumnRenamed("path", "key").repartition(buckets, *KEY)
+    entries = key_entries(placed, "series", "turn", "key", "id", [F.col("size"), seconds(F.col("modified_at"))])
+    staged = VersionedTable(spark, f"{folder}/delivered", KEY)
+    staged.write(entries.sortWithinPartitions("turn"), buckets, arranged=True)
+    index, found = SnapshotIndex(spark, f"{folder}/index"), []
+    sizes = dict(snapshots.df.groupBy("turn").count().collect())  # as many rows as the longest series has scans
+    for turn in range(1, last + 1):
+        due = staged.read().filter(F.col("turn") == turn)
+        found.append(index.advance(due, snapshots.df.filter(F.col("turn") == turn), sizes.get(turn, 0), buckets))
+    changes = reduce(DataFrame.unionByName, found)
+    return changes.join(bounded(snapshots.df, snapshots.rows), ["series", "turn"]).select("scan_id", F.col("key").alias("path"), "change_kind", "row_id", "old_id")
 
 
 def with_values(changes: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ Iterative operators cut their lineage by writing a table below the folder named
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than one row in so many; at most this many keys can be hot.
 HOT_SHARE = 1000
+#: Most rows of a table of few narrow columns that is broadcast.
+FEW_ROWS = 100_000
 #: Below so many rows a key is never hot, whatever its share.
 HOT_ROWS = 20_000
 
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("siftmill.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftmill-")
         spark.conf.set("siftmill.shared.dir", base)
     folder = f"{base.rstrip('/')}/siftmill/{spark.sparkContext.applicationId}"
@@ -87,6 +92,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its ``rows``, counted by the caller, are few; else left to an ordinary join."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 def hot_limit(rows: int) -> int:
     """Rows above which a key counts as hot: at most ``HOT_SHARE`` keys can exceed it."""
     return max(HOT_ROWS, rows // HOT_SHARE)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftmill import shared
+from siftmill import shared, versions
 from siftmill.operators import dedup, graph, heavy_keys, references, snapshots, store
 
 FILES = "id long, scan_id long, path string, size long, modified_at timestamp_ntz, hash_partial string, hash_full string, extra string"
@@ -84,6 +84,21 @@ def test_ledger_follows_deltas(spark):
     assert rows(references.apply_deltas(gone, references.references(files, "scan_id", "scans", -1))) == []
 
 
+def test_stored_ledger_serves_later_sessions(spark, tmp_path):
+    files = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "id long, scan_id long")
+    scans = spark.createDataFrame([(10,)], "id long")
+    ledger = lambda: references.ReferenceLedger(spark.newSession(), str(tmp_path))
+    assert ledger().counts() is None
+    ledger().advance(references.references(files, "scan_id", "scans"))
+    assert rows(references.orphan_keys(ledger().counts())) == [("scans", 10, 2), ("scans", 11, 1)]
+    ledger().advance(references.existences(scans, "id", "scans"))  # arrives later
+    assert rows(references.orphan_keys(ledger().counts())) == [("scans", 11, 1)]
+    ledger().advance(references.references(files.filter("id = 3"), "scan_id", "scans", -1))
+    assert rows(ledger().counts()) == [("scans", 10, 2, 1)]
+    ledger().advance(references.existences(scans, "id", "scans", -1))
+    assert rows(references.orphan_keys(ledger().counts())) == [("scans", 10, 2)] and len(list(tmp_path.iterdir())) == 1
+
+
 def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(shared, "HOT_ROWS", 5)
     many = spark.range(100).select((F.when(F.col("id") < 60, 0).otherwise(F.col("id"))).alias("k"), "id")
@@ -117,32 +132,65 @@ def test_changes_of_nothing(spark):
     assert rows(snapshots.path_changes(spark.createDataFrame([], FILES), spark.createDataFrame([], SCANS))) == []
 
 
-def test_index_advances_and_swaps(spark):
-    index = snapshots.SnapshotIndex(spark, 4)
-    shot = lambda turn, data: snapshots.key_entries(spark.createDataFrame([("s", turn, *r) for r in data], "series string, turn long, key string, id long, v long"), "series", "turn", "key", "id", [F.col("v")])
-    turns = lambda k: spark.createDataFrame([("s", k)], "series string, turn long")
-    assert rows(index.advance(shot(1, [("a", 1, 1), ("b", 2, 1)]), turns(1))) == []
-    first = index.table
-    changed = index.advance(shot(2, [("a", 3, 2), ("c", 4, 1)]), turns(2))
-    assert rows(changed.select("key", "change_kind", "row_id", "old_id")) == [("a", "changed", 3, 1), ("b", "removed", None, 2), ("c", "added", 4, None)]
-    index.retire(first)
-    assert rows(index.advance(shot(3, [("a", 5, 2), ("c", 6, 1)]), turns(3))) == []
+def shot(spark, data, series="s"):
+    rows = spark.createDataFrame([(series, 1, *r) for r in data], "series string, turn long, key string, id long, v long")
+    return snapshots.key_entries(rows, "series", "turn", "key", "id", [F.col("v")]).drop("turn")
 
 
-def test_bucketed_probes_are_not_shuffled(spark):
-    index = snapshots.SnapshotIndex(spark, 4)
-    e = snapshots.key_entries(spark.range(10).selectExpr("'s' series", "1L turn", "string(id) key", "id", "id v"), "series", "turn", "key", "id", [F.col("v")])
-    index.store(e)
+def came(spark, *turns):
+    return spark.createDataFrame(list(turns), "series string, turn long")
+
+
+def test_index_serves_later_sessions(spark, tmp_path):
+    """Every step opens the folder anew, as a session of its own would."""
+    index = lambda: snapshots.SnapshotIndex(spark.newSession(), str(tmp_path))
+    assert rows(index().advance(shot(spark, [("a", 1, 1), ("b", 2, 1)]), came(spark, ("s", 1)), 1)) == []
+    second = index()
+    changed = second.advance(shot(spark, [("a", 3, 2), ("c", 4, 1)]), came(spark, ("s", 2)), 1)
+    assert rows(changed.select("key", "change_kind", "row_id", "old_id")) == [("a", "changed", 3, 1), ("b", "removed", None, 2), ("c", "added", 4, None)]
+    second.retire()
+    assert [p.name for p in tmp_path.iterdir()] == ["v00000001"]
+    assert rows(index().advance(shot(spark, [("x", 9, 9)], "t"), came(spark, ("t", 1)), 1)) == []  # s stays as it was
+    assert rows(index().advance(shot(spark, [("a", 5, 2), ("c", 6, 1)]), came(spark, ("s", 3)), 1)) == []
+    gone = index().advance(shot(spark, []), came(spark, ("s", 4), ("t", 2)), 2)
+    assert rows(gone.select("series", "key", "change_kind")) == [("s", "a", "removed"), ("s", "c", "removed"), ("t", "x", "removed")]
+
+
+def test_a_version_without_its_note_is_not_current(spark, tmp_path):
+    t = versions.VersionedTable(spark, str(tmp_path), ["k"])
+    assert t.version() == -1 and t.read() is None
+    assert t.write(spark.range(5).withColumnRenamed("id", "k"), 8, label="x") == 0 and t.note(0)["label"] == "x" and t.note(0)["rows"] == 5
+    spark.range(9).withColumnRenamed("id", "k").write.parquet(f"{tmp_path}/v00000001")  # a writer lost half-way
+    assert t.version() == 0 and t.read().count() == 5
+    assert t.write(spark.range(7).withColumnRenamed("id", "k"), 8) == 2 and versions.VersionedTable(spark, str(tmp_path), ["k"]).read().count() == 7
+    t.retire()
+    assert [p.name for p in tmp_path.iterdir()] == ["v00000002"]
+
+
+def test_buckets_follow_the_rows():
+    assert [versions.buckets_for(n) for n in (0, 1, 10**6, 9 * 10**6, 10**8, 10**12)] == [8, 8, 8, 16, 128, 65536]
+
+
+def test_an_index_that_outgrew_its_buckets_gets_more(spark, tmp_path, monkeypatch):
+    index = snapshots.SnapshotIndex(spark, str(tmp_path))
+    index.advance(shot(spark, [(str(i), i, i) for i in range(100)]), came(spark, ("s", 1)), 1)
+    monkeypatch.setattr(versions, "ROWS_PER_BUCKET", 5)
+    got = index.advance(shot(spark, [(str(i), i, i) for i in range(1, 101)]), came(spark, ("s", 2)), 1)
+    assert index.table.note(1)["buckets"] == 32 and rows(got.select("key", "change_kind")) == [("0", "removed"), ("100", "added")]
+
+
+def test_probes_do_not_shuffle(spark, tmp_path):
+    index, data = snapshots.SnapshotIndex(spark, str(tmp_path)), [(str(i), i, i) for i in range(50)]
+    index.advance(shot(spark, data), came(spark, ("s", 1)), 1)
+    staged = versions.VersionedTable(spark, f"{tmp_path}/staged", snapshots.KEY)
+    staged.write(shot(spark, data), 8)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        again = spark.table(index.table)  # stored under turn 2, the one that probes
-        probe = index.probe(again.withColumn("row_id", F.col("row_id") + 1), spark.createDataFrame([("s", 2)], "series string, turn long"))
-        plan = probe._jdf.queryExecution().executedPlan().toString()
+        plan = staged.read().join(index.table.read(), snapshots.KEY, "full_outer")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    by_key = [line for line in plan.split("\n") if "Exchange hashpartitioning(series" in line and "key#" in line]
-    assert by_key == [] and probe.count() == 0  # equal buckets meet without an exchange
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 # ---------------------------------------------------------------- groups, components, store
