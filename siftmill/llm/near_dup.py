@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.shared import cut, hot_limit
+from siftmill.operators.graph import lookup
+from siftmill.shared import Table, cut, hot_limit, join_by_key
 
 #: Counters of the frequency sketch: a fixed bound on what reaches the driver and each worker (8 MB).
 SKETCH_MIN, SKETCH_MAX = 1 << 16, 1 << 21
@@ -107,21 +108,8 @@ def _verifier(positions: int):
     return run
 
 
-def near_duplicate_pairs(
-    records: DataFrame,
-    *,
-    positions: int = 128,
-    min_agree: int = 96,
-    max_level: int = MAX_LEVEL,
-    verify_cost: float = VERIFY_COST,
-) -> DataFrame:
-    """All pairs (file_id_a, file_id_b, agree) with min_agree <= agree < positions, smaller id first.
-
-    ``records``: id long, grp string, sig binary of 8 * positions bytes; other columns are ignored. Pairs never
-    cross ``grp``. Rows with a null id, grp or sig, or a signature of another length, have no pairs. Repeated rows
-    of one id count once; equal signatures in one grp are copies (agree = positions) and make no pair among
-    themselves, but each of them pairs with every near duplicate of its class. An empty input gives no rows.
-    """
+def _class_pairs(records: DataFrame, positions: int, min_agree: int, max_level: int, verify_cost: float) -> tuple[DataFrame, Table, DataFrame]:
+    """(rows with their class key, classes, pairs of classes) of the records; see ``near_duplicate_pairs``."""
     spark, base = records.sparkSession, positions - min_agree
     rows = (
         records.select(F.col("id").cast("long").alias("id"), F.col("grp").cast("string").alias("grp"), "sig")
@@ -151,31 +139,60 @@ def near_duplicate_pairs(
     )
     lists = postings.df.groupBy("token").agg(F.count(F.lit(1)).alias("len")).filter("len > 1")
     linked = cut(
-        postings.df.join(lists, "token").select("token", "key", "level", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")),
+        join_by_key(postings.df, lists.select("token", "len", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks")), "token", "len", postings.rows),
         "neardup-linked",
     )
+    postings.drop()
     left = linked.df.select(
         "token", F.col("key").alias("key_a"), F.col("level").alias("level_a"), F.pmod(F.hash("key"), "blocks").alias("block")
     )
     right = linked.df.select(
         "token", F.col("key").alias("key_b"), F.col("level").alias("level_b"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
     )
-    candidates = (
+    candidates = cut(
         left.join(right, ["token", "block"])
         .filter("key_a < key_b")
         .groupBy("key_a", "key_b")
         .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("level_a", "level_b")).alias("need"))
         .filter("shared >= need")
-        .select("key_a", "key_b")
+        .select("key_a", "key_b"),
+        "neardup-candidates",
     )
-    a = sigs.select(F.col("key").alias("key_a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
-    b = sigs.select(F.col("key").alias("key_b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+    linked.drop()
+    # a class may have very many neighbours, so its signature is fetched by a join that splits hot keys
+    side = sigs.select(F.col("key").alias("k"), F.struct("sig", "n").alias("r"))
+    one = lookup(candidates.df, "key_a", side, candidates.rows).select("key_a", "key_b", F.col("r.sig").alias("sig_a"), F.col("r.n").alias("n_a"))
+    if candidates.rows > hot_limit(candidates.rows):
+        one = cut(one, "neardup-half").df  # the second join asks for its hot keys first
+    both = lookup(one, "key_b", side, candidates.rows).select("key_a", "key_b", "sig_a", "n_a", F.col("r.sig").alias("sig_b"), F.col("r.n").alias("n_b"))
     pairs = (
-        candidates.join(a, "key_a")
-        .join(b, "key_b")
+        both.filter("sig_a is not null and sig_b is not null")
         .mapInArrow(_verifier(positions), "key_a binary, key_b binary, n_a long, n_b long, agree int")
         .filter((F.col("agree") >= min_agree) & (F.col("agree") < positions))
     )
+    return rows, classes, pairs
+
+
+def near_duplicate_pairs(
+    records: DataFrame,
+    *,
+    positions: int = 128,
+    min_agree: int = 96,
+    max_level: int = MAX_LEVEL,
+    verify_cost: float = VERIFY_COST,
+) -> DataFrame:
+    """All pairs (file_id_a, file_id_b, agree) with min_agree <= agree < positions, smaller id first.
+
+    ``records``: id long, grp string, sig binary of 8 * positions bytes; other columns are ignored. Pairs never
+    cross ``grp``. Rows with a null id, grp or sig, or a signature of another length, have no pairs. Repeated rows
+    of one id count once; equal signatures in one grp are copies (agree = positions) and make no pair among
+    themselves, but each of them pairs with every near duplicate of its class. An empty input gives no rows.
+
+    The output is as large as the pairs are many; where copies abound, ``near_duplicate_links`` says the same in as many
+    rows as there are classes and records.
+    """
+    rows, classes, pairs = _class_pairs(records, positions, min_agree, max_level, verify_cost)
+    sigs = classes.df
     # members: a class above the limit is spread over SALTS parts; at most HOT_SHARE classes can be
     limit = hot_limit(classes.sums["rows"])
     hot = F.broadcast(sigs.filter(F.col("n") > limit).select("key", F.lit(True).alias("hot")))
@@ -195,6 +212,32 @@ def near_duplicate_pairs(
     return found.select(F.least("id_a", "id_b").alias("file_id_a"), F.greatest("id_a", "id_b").alias("file_id_b"), "agree")
 
 
+def near_duplicate_links(
+    records: DataFrame,
+    *,
+    positions: int = 128,
+    min_agree: int = 96,
+    max_level: int = MAX_LEVEL,
+    verify_cost: float = VERIFY_COST,
+) -> tuple[DataFrame, DataFrame]:
+    """Links (class_a, class_b, agree, n_a, n_b) between classes of copies, and members (id, class_id) of all records
+    that take part. A class is named by its lowest id and holds n records; class_a < class_b. Rows and cases are those of
+    ``near_duplicate_pairs``."""
+    rows, classes, pairs = _class_pairs(records, positions, min_agree, max_level, verify_cost)
+    ids = rows.select("key", "id").distinct()
+    named = cut(ids.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")), "neardup-names")
+    known = named.df.select(F.col("key").alias("k"), F.struct("class_id", "n").alias("r"))
+    found = cut(pairs.select("key_a", "key_b", "agree"), "neardup-pairs")
+    one = lookup(found.df, "key_a", known, found.rows).withColumnRenamed("r", "a")
+    if found.rows > hot_limit(found.rows):
+        one = cut(one, "neardup-half").df
+    two = lookup(one, "key_b", known, found.rows).withColumnRenamed("r", "b")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    links = two.select(low["class_id"].alias("class_a"), high["class_id"].alias("class_b"), "agree", low["n"].alias("n_a"), high["n"].alias("n_b"))
+    members = join_by_key(ids, named.df, "key", "n", classes.sums["rows"]).select("id", "class_id")
+    return links, members
+
+
 def latest_signatures(files: DataFrame, scans: DataFrame) -> DataFrame:
     """Rows (id, grp, sig) of each archive root's completed scan with the latest created_at; grp is the mime type
     in lower case, without parameters and surrounding blanks."""

@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicate_pairs(records).select("file_id_a", "file_id_b").distinct()
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicate_links(near_dup.latest_signatures(read(spark, d, "files"), read(spark, d, "scans")))[0]
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicate_links(near_dup.latest_signatures(read(spark, d, "files"), read(spark, d, "scans")))[1]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     similar = F.col("similarity").between(0.5, 1.0) & ~F.isnan("similarity")
     links = components.clean_links(read(spark, d, "scored_pairs"), F.col("file_id_a"), F.col("file_id_b"), similar)
@@ -80,21 +88,33 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p6_records, p7_found, p7_cleaned, p7_cleaned_summary, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_links, p1_members, p3_found, p6_found, p6_records, p7_found, p7_cleaned, p7_cleaned_summary, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
-_P1 = """
+_P1_ROWS = """
 with last as (
   select arg_max(id, created_at) as scan_id from scans
   where phase = 'COMPLETE' and archive_root is not null group by archive_root),
 r as (
   select id, lower(trim(split_part(mime_type, ';', 1))) as grp, hex(minhash_signature) as h from files
   where scan_id in (select scan_id from last) and octet_length(minhash_signature) = 1024 and mime_type is not null),
-v as (select id, grp, list_transform(range(128), lambda i: substring(h, (i * 16 + 1)::int, 16)) as v from r),
+c as (select grp, h, min(id) as id, count(distinct id) as n from r group by grp, h),
+"""
+
+_P1_PAIRS = """
+v as (select *, list_transform(range(128), lambda i: substring(h, (i * 16 + 1)::int, 16)) as v from {rows}),
 p as (
-  select a.id as x, b.id as y, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] = z[2])::int)) as agree
+  select a.id as x, b.id as y, {counts} list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] = z[2])::int)) as agree
   from v a join v b on a.grp = b.grp and a.id < b.id)
-select x as file_id_a, y as file_id_b from p where agree between 96 and 127"""
+"""
+
+_P1 = _P1_ROWS + _P1_PAIRS.format(rows="r", counts="") + "select x as file_id_a, y as file_id_b from p where agree between 96 and 127"
+
+_P1_LINKS = (
+    _P1_ROWS + _P1_PAIRS.format(rows="c", counts="a.n as n_a, b.n as n_b,") + "select x as class_a, y as class_b, agree, n_a, n_b from p where agree between 96 and 127"
+)
+
+_P1_MEMBERS = _P1_ROWS.rstrip().rstrip(",") + " select distinct r.id, c.id as class_id from r join c using (grp, h)"
 
 _P3 = """
 with recursive e as (
@@ -133,4 +153,4 @@ select docs_cut, (select count(*) from documents) - docs_cut as docs_kept, 0::bi
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p6_found": _P6, "p7_found": _P7, "p7_cleaned_summary": _P7_SUMMARY}
+    return {"p1_found": _P1, "p1_links": _P1_LINKS, "p1_members": _P1_MEMBERS, "p3_found": _P3, "p6_found": _P6, "p7_found": _P7, "p7_cleaned_summary": _P7_SUMMARY}

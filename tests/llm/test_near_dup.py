@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmill.llm import near_dup
-from siftmill.llm.near_dup import choose_levels, latest_signatures, near_duplicate_pairs
+from siftmill import shared
+from siftmill.llm.near_dup import choose_levels, latest_signatures, near_duplicate_pairs, near_duplicate_links
 
 SCHEMA = "id long, grp string, sig binary, key string, n long"
 
@@ -93,3 +94,29 @@ def test_one_group_of_copies_may_hold_a_third(spark):
     rows = [(i, "g", sig(np.arange(128)), None, None) for i in range(300)] + [(1000 + i, "g", sig(r.integers(0, 2**63, 128)), None, None) for i in range(600)]
     assert found(spark, rows) == set()
     assert near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA)).filter(F.col("agree") > 0).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [5, 20_000])
+def test_a_record_with_many_neighbours(spark, monkeypatch, hot_rows):
+    """One record near a third of all others, one token shared by all; links and members say what the pairs say."""
+    monkeypatch.setattr(shared, "HOT_ROWS", hot_rows)
+    r = np.random.default_rng(6)
+    hub = np.arange(128)
+    near = []
+    for _ in range(40):
+        x = r.integers(10**6, 2**62, 128)
+        at = r.permutation(127)[:97] + 1
+        x[at], x[0] = hub[at], 0
+        near.append(x)
+    far = [np.concatenate([[0], r.integers(10**6, 2**62, 127)]) for _ in range(80)]
+    rows = [(1, "g", sig(hub), None, None), (500, "g", sig(hub), None, None)] + [(10 + i, "g", sig(x), None, None) for i, x in enumerate(near + far)]
+    want = {(min(a, b), max(a, b)) for a in (1, 500) for b in range(10, 50)}
+    agree = lambda x, y: int((x == y).sum())
+    want |= {(10 + i, 10 + j) for i in range(40) for j in range(i + 1, 40) if agree(near[i], near[j]) >= 96}
+    assert found(spark, rows) == want
+    links, members = near_duplicate_links(spark.createDataFrame(rows, SCHEMA))
+    of = {x.id: x.class_id for x in members.collect()}
+    got = [tuple(x) for x in links.collect()]
+    assert of[500] == 1 and len(of) == len(rows) and len(got) == len({x[:2] for x in got})
+    assert {(a, b) for a, b, *_ in got} == {(min(of[a], of[b]), max(of[a], of[b])) for a, b in want}
+    assert all(n == (2 if a == 1 else 1) for a, _, _, n, _ in got)
