@@ -111,7 +111,7 @@ def mix_sources(
     documents: DataFrame,
     weights: DataFrame,
     *,
-    total_tokens: float | None = None,
+    total_tokens: float | str | None = None,
     weight: Column | None = None,
     tokenizer: str = DEFAULT_TOKENIZER,
     seed: int = 0,
@@ -125,8 +125,11 @@ def mix_sources(
     null source or without tokens, take no part; the former are reported with what they missed. Rows alike in
     doc_id, source and text are one document. Empty tables give no documents.
 
+    ``total_tokens`` is the size of the mix, 'available' for as many tokens as the weighted sources have; without it the
+    mix is as large as it can be with no source short of its weight.
+
     Shares: source, target_share, actual_share, target_tokens, actual_tokens, available_tokens, documents_used,
-    max_copies.
+    max_copies, at_cap (whether max_repeats binds the source).
     """
     spark = documents.sparkSession
     named = (
@@ -155,16 +158,21 @@ def mix_sources(
     for source, k, tokens in docs.groupBy("source", "step").agg(F.sum("n_tokens")).collect():
         have[source].append((k, tokens))
     available = {s: sum(t for _, t in x) for s, x in have.items()}
-    target = allocate({s: available[s] * repeats[s] for s in have}, share, total_tokens)
-    plan = []
+    if total_tokens == "available":
+        total_tokens = float(sum(t for s, t in available.items() if share.get(s, 0) > 0))
+    capacity = {s: available[s] * repeats[s] for s in have}
+    target = allocate(capacity, share, total_tokens)
+    plan, left = [], {}
     for s, goal in target.items():
+        left[s] = goal
         c = solve_rate([(2.0 ** (k / WEIGHT_STEPS), t) for k, t in have[s]], repeats[s], goal)
         for k, t in have[s]:
             due = min(float(repeats[s]), c * 2.0 ** (k / WEIGHT_STEPS))
             whole = math.floor(due + 1e-9)
-            plan.append((s, k, whole, max(0.0, due - whole), float(t)))
-    left = {s: goal - sum(whole * t for x, _, whole, _, t in plan if x == s) for s, goal in target.items()}
-    steps = spark.createDataFrame([(s, k, w, p, left[s]) for s, k, w, p, _ in plan], "source string, step int, whole long, pi double, need double")
+            plan.append((s, k, whole, max(0.0, due - whole)))
+            left[s] -= whole * float(t)
+    # at most 257 steps for each of the bounded number of sources
+    steps = spark.createDataFrame([(s, k, w, p, left[s]) for s, k, w, p in plan], "source string, step int, whole long, pi double, need double")
     due = docs.join(F.broadcast(steps), ["source", "step"]).withColumn(
         "rank", F.expr("case when pi > 0 then (draw / (1 - draw)) / (pi / (1 - pi)) end")
     )
@@ -173,9 +181,12 @@ def mix_sources(
     binned = due.filter("pi > 0").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.first("need").alias("need"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     edges = binned.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).select("source", "bin", "before", (F.col("before") + F.col("t")).alias("after"), "need")
-    marks = edges.select("source", "bin", "before", F.when(F.col("after") <= F.col("need"), "in").when(F.col("before") < F.col("need"), "cut").otherwise("out").alias("side"))
-    # at most RANK_BINS rows a source of the bounded table of weights
-    placed = due.join(F.broadcast(marks), ["source", "bin"], "left")
+    # ranks below the bin in which the need is reached are taken, those above are not: one row a source says where it is
+    reached = edges.groupBy("source").agg(F.min(F.when(F.col("after") > F.col("need"), F.struct("bin", "before"))).alias("at"))
+    placed = due.join(F.broadcast(reached), "source", "left").withColumn("before", F.col("at.before"))
+    beyond = F.col("bin") - F.col("at.bin")
+    side = F.when(F.col("at").isNull() | (beyond < 0), "in").when((beyond == 0) & (F.col("before") < F.col("need")), "cut").otherwise("out")
+    placed = placed.withColumn("side", F.when(F.col("bin").isNotNull(), side))
     inner = Window.partitionBy("source", "bin").orderBy("x", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.col("before") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
     keep = ("doc_id", "source", "draw", "n_tokens", "whole", "pi", "need", "x")
@@ -200,12 +211,12 @@ def mix_sources(
         .filter("copies > 0")
     )
     known = spark.createDataFrame(
-        [(s, share[s], float(target.get(s, 0.0)), int(available.get(s, 0))) for s in share],
-        "source string, target_share double, target_tokens double, available_tokens long",
+        [(s, share[s], float(target.get(s, 0.0)), int(available.get(s, 0)), target.get(s, 0.0) >= capacity.get(s, 0) - 1e-6) for s in share],
+        "source string, target_share double, target_tokens double, available_tokens long, at_cap boolean",
     )
     used = chosen.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count(F.lit(1)).alias("documents_used"), F.max("copies").alias("max_copies")
     )
     shares = known.join(used, "source", "left").na.fill(0, ["actual_tokens", "documents_used", "max_copies"])
     shares = shares.withColumn("actual_share", F.coalesce(F.try_divide(F.col("actual_tokens").cast("double"), F.sum("actual_tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))
-    return chosen, shares.select("source", "target_share", "actual_share", "target_tokens", "actual_tokens", "available_tokens", "documents_used", "max_copies")
+    return chosen, shares.select("source", "target_share", "actual_share", "target_tokens", "actual_tokens", "available_tokens", "documents_used", "max_copies", "at_cap")

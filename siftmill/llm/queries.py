@@ -64,9 +64,9 @@ def p7_cleaned_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(*(F.sum(c).alias(c) for c in rows.columns))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     longer = F.log2(F.col("n_tokens") + 2)  # a fragment is less likely than a full text
-    return mixture.mix_sources(read(spark, d, "documents"), read(spark, d, "source_weights"), weight=longer)
+    return mixture.mix_sources(read(spark, d, "documents"), read(spark, d, "source_weights"), weight=longer, total_tokens=total)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +77,47 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_mix_available(spark: SparkSession, d: str) -> DataFrame:
+    """The mix at the size of the corpus, small sources staying at their cap."""
+    return _mix(spark, d, "available")[0]
+
+
+def p8_shares_available(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, "available")[1]
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each source with a weight, in both mixes: documents are its own, copies within max_repeats, tokens add up, at
+    most its capacity, and off the target by no more than its longest document; 'short' counts what is not so."""
+    weights, documents = read(spark, d, "source_weights"), read(spark, d, "documents")
+    most = weights.groupBy(mixture.source_key(F.col("source")).alias("source")).agg(F.min("max_repeats").alias("most"))
+    own = documents.select("doc_id", mixture.source_key(F.col("source")).alias("source"), F.lit(1).alias("known")).distinct()
+    longest = mixture.count_tokens(documents).groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    out = None
+    for name, total in (("whole", None), ("available", "available")):
+        mix, shares = _mix(spark, d, total)
+        per = mix.join(own, ["doc_id", "source"], "left").groupBy("source").agg(
+            F.sum(F.col("n_tokens") * F.col("copies")).alias("sum"), F.max("copies").alias("copies"), F.count_if(F.col("known").isNull()).alias("strange")
+        )
+        r = shares.join(most, "source").join(per, "source", "left").join(longest, "source", "left")
+        wrong = [
+            F.coalesce("strange", F.lit(0)) > 0,
+            F.coalesce("copies", F.lit(0)) > F.col("most"),
+            F.coalesce("sum", F.lit(0)) != F.col("actual_tokens"),
+            F.col("actual_tokens") > F.col("available_tokens") * F.col("most"),
+            F.abs(F.col("actual_tokens") - F.col("target_tokens")) > F.coalesce("longest", F.lit(0)),
+            F.col("at_cap") & (F.col("available_tokens") > 0) & (F.abs(F.col("actual_tokens") - F.col("available_tokens") * F.col("most")) > F.col("longest")),
+        ]
+        one = r.select(F.lit(name).alias("mix"), "source", sum(F.coalesce(w, F.lit(False)).cast("long") for w in wrong).alias("short"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p6_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The voted fields of the records, without the paths, whose alignment SQL cannot say."""
+    return _records(spark, d).drop("path")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = pii.find_pii(read(spark, d, "documents"), read(spark, d, "name_lexicon"))
     return found.filter(F.col("pii_kind").isin(*pii.KINDS)).distinct()
@@ -88,7 +129,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_links, p1_members, p3_found, p6_found, p6_records, p7_found, p7_cleaned, p7_cleaned_summary, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_links, p1_members, p3_found, p6_found, p6_records, p6_fields, p7_found, p7_cleaned, p7_cleaned_summary, p8_mix, p8_shares, p8_mix_available, p8_shares_available, p8_invariants, p9_found, p9_redacted)}
 
 
 _P1_ROWS = """
@@ -137,6 +178,36 @@ o as (
          order by known nulls last, trust_rank nulls last, length(path) nulls last, file_id) as r from k)
 select group_id, file_id from o where n >= 2 and r = 1"""
 
+_P6_FIELDS = """
+with clean as (
+  select id, path, lower(trim(provider)) as provider, size, modified_at, lower(trim(split_part(mime_type, ';', 1))) as mime_type,
+         lower(trim(hash_partial)) as hash_partial, lower(trim(hash_full)) as hash_full, copy_hint from files),
+m as (
+  select distinct dm.group_id, dm.file_id, c.* exclude (id, modified_at), p.trust_rank,
+         case when modified_at >= timestamp '1990-01-01' and (s.created_at is null or modified_at <= s.created_at) then modified_at end as modified_at
+  from duplicate_members dm join duplicate_groups g on g.id = dm.group_id join clean c on c.id = dm.file_id
+  left join scans s on s.id = g.scan_id left join providers p on lower(trim(p.provider)) = c.provider),
+w as (
+  select *, (0.5 + 0.5 * ((path is not null)::int + (provider is not null)::int + (size is not null)::int + (modified_at is not null)::int + (mime_type is not null)::int
+         + (hash_partial is not null)::int + (hash_full is not null)::int + (copy_hint is not null)::int) / 8.0) / coalesce(greatest(trust_rank, 1), 100) as w from m),
+b as (
+  select group_id, w, unnest([{'f': 'provider', 'v': provider}, {'f': 'size', 'v': size::varchar}, {'f': 'modified_at', 'v': modified_at::varchar}, {'f': 'mime_type', 'v': mime_type},
+         {'f': 'hash_partial', 'v': hash_partial}, {'f': 'hash_full', 'v': hash_full}, {'f': 'copy_hint', 'v': copy_hint}], recursive := true) from w),
+t as (select group_id, f, v, round(sum(w), 9) as s from b where v is not null group by all),
+e as (select group_id, f, v from t qualify row_number() over (partition by group_id, f order by s desc, v) = 1),
+o as (
+  select group_id, file_id, count(*) over (partition by group_id) as members, row_number() over (partition by group_id
+         order by modified_at nulls last, trust_rank nulls last, length(path) nulls last, file_id) as r from m)
+select o.group_id, o.file_id, o.members,
+  max(case when f = 'provider' then v end) as provider, max(case when f = 'size' then v end)::bigint as size, max(case when f = 'modified_at' then v end)::timestamp as modified_at,
+  max(case when f = 'mime_type' then v end) as mime_type, max(case when f = 'hash_partial' then v end) as hash_partial, max(case when f = 'hash_full' then v end) as hash_full,
+  max(case when f = 'copy_hint' then v end) as copy_hint
+from o left join e on e.group_id = o.group_id where r = 1 and members >= 2 group by 1, 2, 3"""
+
+_P8_INVARIANTS = """
+select mix, regexp_replace(lower(trim(source)), '[\\s\\-_]+', '_', 'g') as source, 0::bigint as short
+from source_weights, (values ('whole'), ('available')) t(mix) where source is not null group by 1, 2"""
+
 _P7 = """
 with words as (
   select 0 as kind, doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents
@@ -153,4 +224,4 @@ select docs_cut, (select count(*) from documents) - docs_cut as docs_kept, 0::bi
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p1_links": _P1_LINKS, "p1_members": _P1_MEMBERS, "p3_found": _P3, "p6_found": _P6, "p7_found": _P7, "p7_cleaned_summary": _P7_SUMMARY}
+    return {"p1_found": _P1, "p1_links": _P1_LINKS, "p1_members": _P1_MEMBERS, "p3_found": _P3, "p6_found": _P6, "p6_fields": _P6_FIELDS, "p8_invariants": _P8_INVARIANTS, "p7_found": _P7, "p7_cleaned_summary": _P7_SUMMARY}

@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftmill.shared import cut, join_by_key
+from siftmill.operators.graph import lookup
+from siftmill.shared import cut, hot_limit, join_by_key
 
 #: Distinct paths that are aligned in one place.
 BLOCK = 256
+#: Most member ids that are broadcast to sift the files by (16 bytes each) before any of them is shuffled.
+SIFT_IDS = 2_000_000
 #: Timestamps before this are senseless.
 FIRST_SENSIBLE = "1990-01-01 00:00:00"
 #: Fields voted on as a whole; their cleaned text stands for them.
@@ -224,10 +227,13 @@ def token_consensus(values: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def group_members(groups: DataFrame, members: DataFrame, files: DataFrame, scans: DataFrame, providers: DataFrame) -> DataFrame:
-    """One row for each distinct existing member of each group, with its file's fields, cleaned, and its vote weight."""
+    """One row for each distinct existing member of each group, with its file's fields, cleaned, and its vote weight.
+
+    Groups and files that hold very many member rows are joined by broadcast of those few keys.
+    """
     run = scans.filter("id is not null").groupBy(F.col("id").alias("scan_id")).agg(F.max("created_at").alias("run_at"))
     g = groups.filter("id is not null").groupBy(F.col("id").alias("group_id")).agg(F.max("scan_id").alias("scan_id")).join(run, "scan_id", "left")
-    m = members.select(F.col("group_id").cast("long").alias("group_id"), F.col("file_id").cast("long").alias("file_id")).na.drop().distinct()
+    m = cut(members.select(F.col("group_id").cast("long").alias("group_id"), F.col("file_id").cast("long").alias("file_id")).na.drop().distinct(), "representatives-ids")
     rank = providers.select(F.lower(F.trim("provider")).alias("provider"), F.col("trust_rank").cast("long").alias("trust_rank")).na.drop()
     rank = rank.groupBy("provider").agg(F.min("trust_rank").alias("trust_rank"))
     clean = files.select(
@@ -241,7 +247,14 @@ def group_members(groups: DataFrame, members: DataFrame, files: DataFrame, scans
         F.lower(F.trim("hash_full")).alias("hash_full"),
         "copy_hint",
     )
-    rows = m.join(g.select("group_id", "run_at"), "group_id").join(clean, "file_id").join(rank, "provider", "left")
+    clean = clean.filter("file_id is not null")
+    if m.rows <= SIFT_IDS:
+        clean = clean.join(F.broadcast(m.df.select("file_id").distinct()), "file_id", "left_semi")
+    placed = lookup(m.df, "group_id", g.select(F.col("group_id").alias("k"), F.struct("run_at").alias("r")), m.rows).filter("r is not null").select("group_id", "file_id", "r.run_at")
+    if m.rows > hot_limit(m.rows):
+        placed = cut(placed, "representatives-placed").df  # the next join asks for its hot keys first
+    fields_of = clean.select(F.col("file_id").alias("k"), F.struct(*(c for c in clean.columns if c != "file_id")).alias("r"))
+    rows = lookup(placed, "file_id", fields_of, m.rows).filter("r is not null").select("group_id", "file_id", "run_at", "r.*").join(rank, "provider", "left")
     sensible = (F.col("modified_at") >= F.lit(FIRST_SENSIBLE).cast("timestamp_ntz")) & (F.col("run_at").isNull() | (F.col("modified_at") <= F.col("run_at")))
     fields = ("path", *VOTED)
     full = sum(F.col(c).isNotNull().cast("int") for c in fields) / float(len(fields))
