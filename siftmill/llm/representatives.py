@@ -24,8 +24,8 @@ from siftmill.shared import cut, hot_limit, join_by_key
 
 #: Distinct paths that are aligned in one place.
 BLOCK = 256
-#: Most member ids that are broadcast to sift the files by (16 bytes each) before any of them is shuffled.
-SIFT_IDS = 2_000_000
+#: Most member ids that are broadcast to sift the files by (about 70 bytes each) before any of them is shuffled.
+SIFT_IDS = 1_000_000
 #: Timestamps before this are senseless.
 FIRST_SENSIBLE = "1990-01-01 00:00:00"
 #: Fields voted on as a whole; their cleaned text stands for them.
