@@ -165,5 +165,31 @@ def settings_fingerprint(threshold: Column, min_similarity: Column) -> Column:
     return F.concat_ws("|", threshold.cast("string"), min_similarity.cast("string"))
 
 
+def age(seconds: Column) -> Column:
+    """'Xs' below a minute, 'Xm' below an hour, else 'Xh Ym'; null for null."""
+    n = seconds.cast("long")
+    return (
+        F.when(n < 60, F.concat(n.cast("string"), F.lit("s")))
+        .when(n < 3600, F.concat(F.floor(n / 60).cast("string"), F.lit("m")))
+        .when(n >= 3600, F.format_string("%dh %dm", F.floor(n / 3600), F.floor((n % 3600) / 60)))
+    )
+
+
+def display_date(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MMM-dd HH:mm:ss")
+
+
+def run_label(at: Column) -> Column:
+    return F.concat(F.lit("run_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
+def confidence_badge(strategy: Column, confidence: Column) -> Column:
+    return F.when(strategy == "exact-hash", "success").when(confidence >= 0.8, "contrast").otherwise("error")
+
+
+def percent(share: Column) -> Column:
+    return F.format_string("%.0f%%", share * 100)
+
+
 def csv_quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))

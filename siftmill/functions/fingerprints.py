@@ -52,17 +52,30 @@ def coefficients(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, n
 _A, _B = coefficients()
 
 
-def _hash_words(text: str) -> np.ndarray:
-    """Hashes of the distinct shingles of one text that is normalised already."""
-    words = text.split(" ")
-    parts = set(words) if len(words) == 1 else {f"{a} {b}" for a, b in zip(words, words[1:])}
-    out = np.empty(len(parts), dtype=np.int64)
-    for i, s in enumerate(parts):
-        h = 0
-        for c in s.encode("ascii"):
-            h = (h * 31 + c) & 0xFFFFFFFF
-        out[i] = h
-    return out
+_POWERS = np.cumprod(np.concatenate([[1], np.full(63, 31)]).astype(np.uint32), dtype=np.uint32)
+
+
+def _powers(n: int) -> np.ndarray:
+    """31^0 .. 31^(n-1) modulo 2^32."""
+    return _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.concatenate([[1], np.full(n - 1, 31)]).astype(np.uint32), dtype=np.uint32)
+
+
+def shingle_values(text: str) -> np.ndarray:
+    """Hashes of the shingles of one text that is normalised already (words of a-z and 0-9 with single blanks)."""
+    data = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
+    if not len(data):
+        return np.zeros(1, dtype=np.int64)
+    blanks = np.flatnonzero(data == 32)
+    start, end = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(data)]])
+    length = end - start
+    place = np.repeat(end, length + (np.arange(len(end)) < len(end) - 1))[: len(data)] - np.arange(len(data)) - 1  # -1 at blanks
+    power = _powers(int(length.max()) + 1)
+    value = np.where(data == 32, np.uint32(0), data.astype(np.uint32) * power[np.maximum(place, 0)])
+    words = np.add.reduceat(value, start, dtype=np.uint32)
+    if len(words) == 1:
+        return words.astype(np.int64)
+    tail = power[length[1:]]
+    return ((words[:-1] * np.uint32(31) + np.uint32(32)) * tail + words[1:]).astype(np.int64)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -74,7 +87,7 @@ def minhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             if t is None:
                 out.append(np.full(PERMUTATIONS, NOTHING, dtype=np.int64))
                 continue
-            x = _hash_words(t)
+            x = shingle_values(t)
             low = np.full(PERMUTATIONS, NOTHING, dtype=np.int64)
             for k in range(0, len(x), 4096):  # long texts in parts
                 low = np.minimum(low, ((x[k : k + 4096, None] * _A + _B) % MODULUS).min(axis=0))
@@ -101,6 +114,11 @@ def dhash_similarity(a: Column, b: Column) -> Column:
     return F.when((F.octet_length(a) == 8) & (F.octet_length(b) == 8), same).otherwise(F.lit(0.0))
 
 
+def equality_similarity(a: Column, b: Column) -> Column:
+    """1 for equal, 0 for different or missing contents."""
+    return F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
 def dhash_pixels(pixels: np.ndarray) -> bytes:
     """Difference hash of an h x w x 3 (blue, green, red) image: bilinear 9 x 8, luma, bit set where left > right."""
     h, w = pixels.shape[:2]

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-#: Keys the sketch keeps; its error is at most 3.5 / SKETCH_KEYS of all rows.
-SKETCH_KEYS = 4096
+#: Keys the sketch keeps at least and at most; its error is at most 3.5 / keys of all rows.
+SKETCH_KEYS, SKETCH_KEYS_MAX = 4096, 1 << 19
 #: Tasks whose sketches are merged in one place at first; a second step merges the merged ones.
 MERGE_FAN_IN = 64
 #: Share of all rows that makes a key heavy unless the caller says otherwise.
@@ -26,17 +26,20 @@ def sketch_heavy(rows: DataFrame, keys: list[str], share: float) -> tuple[DataFr
     """Keys that may hold ``share`` of all rows (all that do are among them), and the number of rows.
 
     The sketch over-counts nothing by more than its error, so keys from ``share`` minus the error on are kept: at most
-    1 / (share - error) of them.
+    1 / (share - error) of them. Smaller shares take larger sketches; below 16 / SKETCH_KEYS_MAX it is an error.
     """
+    kept = max(SKETCH_KEYS, 1 << (int(16 / share)).bit_length()) if share > 0 else SKETCH_KEYS_MAX + 1
+    if kept > SKETCH_KEYS_MAX:
+        raise ValueError(f"a share of {share} of all rows is too small to be heavy")
     spark = rows.sparkSession
     text = F.concat_ws("\x01", *(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))
     most = int(2 / share) + 2
     tasks = rows.rdd.getNumPartitions()  # planned only, nothing runs
     first = rows.select(text.alias("__key"), F.pmod(F.spark_partition_id(), F.lit(max(1, tasks // MERGE_FAN_IN))).alias("__at"))
-    merged = first.groupBy("__at").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(__key, {SKETCH_KEYS})").alias("s"))
-    whole = merged.groupBy(F.lit(1)).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {SKETCH_KEYS})").alias("s"))
+    merged = first.groupBy("__at").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(__key, {kept})").alias("s"))
+    whole = merged.groupBy(F.lit(1)).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {kept})").alias("s"))
     got = whole.select("n", F.expr(f"approx_top_k_estimate(s, {most})").alias("top")).first() or Row(n=0, top=[])
-    bound = got.n * max(0.0, share - 4.0 / SKETCH_KEYS)
+    bound = got.n * max(0.0, share - 4.0 / kept)
     found = [x.item for x in (got.top or []) if x["count"] >= bound and x.item is not None]
     parts = F.split("t", "\x01")
     heavy = spark.createDataFrame([(t,) for t in found], "t string")
@@ -49,7 +52,7 @@ def per_key_results(rows: DataFrame, keys: list[str], value: str, size: str, sha
 
     Output: keys, n_rows long, n_values long, total_size long, is_heavy boolean (n_rows at least ``share`` of all rows).
     Null parts of a key form keys of their own; null values count as rows but not as values, null sizes as 0.
-    An empty input gives no rows.
+    An empty input gives no rows. No task holds more than one value of a heavy key, and none that is not heavy is large.
     """
     heavy, total = sketch_heavy(rows, keys, share)
     need = rows.select(*keys, F.col(value).alias("__v"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__s"))

@@ -5,15 +5,16 @@ Every operator works on all scans at once; filter its result, or its inputs, for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftmill.functions.columns import ancestors, archive_path, copy_hint, csv_quoted
 from siftmill.operators.snapshots import completed_snapshots, path_changes, seconds
 
 
 def latest_by_path(files: DataFrame) -> DataFrame:
-    """The row with the highest id of each path (null paths have none)."""
+    """The row with the highest id of each path (null paths have none). Give only the columns needed: all travel."""
     cols = [c for c in files.columns if c != "path"]
     best = files.filter("path is not null").groupBy("path").agg(F.max_by(F.struct(*cols), "id").alias("r"))
     return best.select("path", *(F.col("r")[c].alias(c) for c in cols)).select(*files.columns)
@@ -22,7 +23,7 @@ def latest_by_path(files: DataFrame) -> DataFrame:
 def reuse_fingerprints(current: DataFrame, cached: DataFrame) -> DataFrame:
     """(id, path, reused, hash_partial, hash_full): hashes taken over from the latest cached row of the path where its
     partial hash is known and size and modified_at (to the second) are equal; null means to be computed."""
-    old = latest_by_path(cached).select("path", F.col("size").alias("o_size"), seconds(F.col("modified_at")).alias("o_at"), F.col("hash_partial").alias("o_part"), F.col("hash_full").alias("o_full"))
+    old = latest_by_path(cached.select("id", "path", "size", "modified_at", "hash_partial", "hash_full")).select("path", F.col("size").alias("o_size"), seconds(F.col("modified_at")).alias("o_at"), F.col("hash_partial").alias("o_part"), F.col("hash_full").alias("o_full"))
     same = F.col("o_part").isNotNull() & (F.col("size") == F.col("o_size")) & (seconds(F.col("modified_at")) == F.col("o_at"))
     hit = F.coalesce(same, F.lit(False))
     return current.join(old, "path", "left").select("id", "path", hit.alias("reused"), F.when(hit, F.col("o_part")).alias("hash_partial"), F.when(hit, F.col("o_full")).alias("hash_full"))
@@ -123,6 +124,26 @@ def groups_with_members(groups: DataFrame, members: DataFrame) -> DataFrame:
     return groups.join(listed.withColumnRenamed("group_id", "id"), "id", "left")
 
 
+def _first_of_each(rows: DataFrame, group: str, order: Column, k: int) -> DataFrame:
+    """The first k rows of each group with their ``place``. Rows are cut to k within salted parts of a group first, so no
+    task sorts a large group."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(64))
+    part = Window.partitionBy(group, "__salt").orderBy(order)
+    few = rows.withColumn("__salt", salt).withColumn("__n", F.row_number().over(part)).filter(F.col("__n") <= k)
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("place") <= k).drop("__salt", "__n")
+
+
+def least_certain(groups: DataFrame, k: int) -> DataFrame:
+    """The k groups of each run of the least confidence, unknown ones first, with their ``place``."""
+    return _first_of_each(groups.select("id", "scan_id", "strategy", "confidence", "canonical_file_id"), "scan_id", F.struct("confidence", "id"), k)
+
+
+def kept_first(groups: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The first k members (group_id, file_id, place) of each group: the kept file, then the others by id."""
+    rows = _members(groups, members).filter("file_id is not null").select("group_id", "file_id", (~F.col("file_id").eqNullSafe(F.col("canonical_file_id"))).alias("other"))
+    return _first_of_each(rows, "group_id", F.struct("other", "file_id"), k)
+
+
 def archive_plan(scans: DataFrame, files: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """(scan_id, group_id, file_id, source, destination) of every membership that is not the kept one."""
     return preview_members(scans, files, groups, members).filter("not is_canonical").join(
@@ -148,8 +169,6 @@ def dismiss(groups: DataFrame, members: DataFrame, dismissed: DataFrame) -> tupl
 
 def results_rows(scans: DataFrame, files: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """Lines of the results export: run, group number within the run by id, strategy, confidence, role, path, size."""
-    from pyspark.sql.window import Window
-
     number = F.row_number().over(Window.partitionBy("scan_id").orderBy("id"))
     numbered = groups.select(F.col("id").alias("group_id"), number.alias("group_index"))
     info = files.select(F.col("id").alias("file_id"), "path", "size")

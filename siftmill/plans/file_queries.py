@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 from siftmill.functions import columns as c
 from siftmill.functions import fingerprints as fp
-from siftmill.operators import dedup, graph, store
+from siftmill.operators import dedup, graph, runs, store
 from siftmill.operators.snapshots import completed_snapshots
 from siftmill.plans.tables import read
-from siftmill.shared import spread
+from siftmill.shared import join_by_key, spread
 
 # Folders left out in the path_exclusion query.
 EXCLUDED = ("/data/lib00001/archive", "/data/lib00002/photos/", "/gdrive/lib00001", "/mnt")
@@ -223,11 +223,11 @@ def minhash_signatures(t):
 cls as (select lang, size, v, min(doc_id) as id, count(*) as n from sig where lang is not null group by lang, size, v),
 p as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] = z[2])::int)) / 128.0::double as similarity
       from cls a join cls b on a.lang = b.lang and a.id < b.id and (2 * least(a.size, b.size) >= greatest(a.size, b.size) or least(a.size, b.size) <= 0))
-select id_a, id_b, similarity::double as similarity, n_a, n_b from p where similarity >= 65 / 128.0 and similarity < 1""")
+select id_a, id_b, similarity::double as similarity, n_a, n_b from p where similarity >= 64 / 128.0 and similarity < 1""")
 def neardup_links(t):
-    """Near duplicates among documents of one language, from 65 of 128 positions, where the bands are certain: pairs of
-    classes of copies; neardup_members says which documents a class holds."""
-    return dedup.near_duplicate_classes(_signed_documents(t, F.col("lang")), 65 / 128)
+    """Near duplicates among documents of one language, from 64 of 128 positions: pairs of classes of copies;
+    neardup_members says which documents a class holds."""
+    return dedup.near_duplicate_classes(_signed_documents(t, F.col("lang")))
 
 
 def _signed_documents(t, kind):
@@ -278,6 +278,25 @@ def image_similarity(t):
     return m.join(side("file_id", "a"), "file_id").join(side("canonical_file_id", "b"), "canonical_file_id").select("group_id", "file_id", fp.dhash_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
+@query(f"""
+with c as (select {_MIME} as kind, hex(minhash_signature) as s, min(id) as id, count(*) as n from files where octet_length(minhash_signature) = 8 and mime_type is not null group by 1, 2),
+p as (select a.id as id_a, b.id as id_b, 1 - bit_count(xor(('0x' || a.s)::ubigint::bit, ('0x' || b.s)::ubigint::bit)) / 64.0::double as similarity, a.n as n_a, b.n as n_b
+      from c a join c b on a.kind = b.kind and a.id < b.id)
+select * from p where similarity >= 0.9 and similarity < 1""")
+def image_links(t):
+    """Near-duplicate images of one media type by difference hash: pairs of classes of copies, named by image_members."""
+    return dedup.image_links(t.files.select("id", c.clean_mime(F.col("mime_type")).alias("kind"), F.col("minhash_signature").alias("fp")))
+
+
+@query(f"select id, min(id) over (partition by {_MIME}, minhash_signature) as class_id from files where octet_length(minhash_signature) = 8 and mime_type is not null")
+def image_members(t):
+    """Each image with a fingerprint and its class in image_links."""
+    images = t.files.filter((F.octet_length("minhash_signature") == 8) & F.col("mime_type").isNotNull())
+    keyed = images.select("id", F.concat_ws("/", F.hex("minhash_signature"), c.clean_mime(F.col("mime_type"))).alias("key"))
+    classes = keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    return join_by_key(keyed, classes, "key", "n", keyed.count()).select("id", "class_id")
+
+
 # ------------------------------------------------------------------ clusters
 
 _LINKS = """
@@ -329,6 +348,99 @@ def neardup_all_clusters(t):
     return dedup.near_duplicate_clusters(t.scored_pairs, t.files, oversize=True)
 
 
+_STRATEGIES = f"""
+s as (select *, coalesce(lower(trim(strategy)), 'unknown') as st from scored_pairs),
+l as (select st, least(file_id_a, file_id_b) as a, greatest(file_id_a, file_id_b) as b, max(similarity) as similarity from s
+      where file_id_a <> file_id_b and (st = 'exact-hash' or similarity >= 0.5 and similarity < 1) group by 1, 2, 3),
+u as (select st, a, b from l union all select st, b, a from l),
+reach(st, v, w) as (select st, a, a from u union select reach.st, reach.v, u.b from reach join u on u.a = reach.w and u.st = reach.st),
+comp as (select st, v, min(w) as root from reach group by st, v),
+n as (select c.st, c.root, f.* from comp c join files f on f.id = c.v),
+h as (select st, root, first(id order by modified_at nulls last, length(path), id) as canonical, first(size order by modified_at nulls last, length(path), id) as csize from n group by st, root),
+p as (select n.st, n.root, n.id, n.size, canonical, csize, abs(ln(greatest(n.size, 1)) - ln(greatest(csize, 1))) as far from n join h using (st, root)
+      where n.st = 'exact-hash' or n.id = canonical or csize <= 0 or (n.size > 0 and 2 * least(n.size, csize) >= greatest(n.size, csize))),
+q as (select *, min(size) over w as lo, max(size) over w as hi from p window w as (partition by st, root order by far, size range between unbounded preceding and current row)),
+k as (select *, count(*) over (partition by st, root) as n_members from q where st = 'exact-hash' or csize <= 0 or 2 * lo >= hi),
+e as (select * from k where n_members >= 2 and (st = 'exact-hash' or n_members <= 100)),
+x as (select ka.st, ka.root, min(l.similarity) as least from l join k ka on ka.st = l.st and ka.id = l.a join k kb on kb.st = l.st and kb.id = l.b and kb.root = ka.root group by 1, 2)"""
+
+
+@query(f"""with recursive {_STRATEGIES}
+select distinct e.st as strategy, e.root as group_id, e.canonical as canonical_file_id, e.n_members, case when e.st = 'exact-hash' then 1.0 else coalesce(x.least, 0.0) end::double as confidence
+from e left join x on x.st = e.st and x.root = e.root""")
+def strategy_groups(t):
+    """Exact and near-duplicate pairs clustered apart, each group with the strategy of its pairs."""
+    return dedup.clusters_by_strategy(t.scored_pairs, t.files)[0]
+
+
+@query(f"with recursive {_STRATEGIES} select st as strategy, root as group_id, id as file_id from e")
+def strategy_members(t):
+    return dedup.clusters_by_strategy(t.scored_pairs, t.files)[1]
+
+
+# ------------------------------------------------------------------ runs, order, formats
+
+
+@query("select id, run_label, phase, archive_root, row_number() over (order by created_at desc nulls last, id desc) as place from scans qualify place <= 1000")
+def runs_newest_first(t):
+    """The thousand newest runs in order: a top-k of one table, so no task sorts all of it."""
+    return runs.newest(t.scans, 1000).select("id", "run_label", "phase", "archive_root", "place")
+
+
+@query("select id, phase from scans where phase not in ('COMPLETE', 'FAILED', 'PURGED', 'CLEANED', 'STAGED') order by created_at desc nulls last, id desc limit 1")
+def in_progress_run(t):
+    return runs.in_progress(t.scans).select("id", "phase")
+
+
+@query("select id as group_id, scan_id, confidence, row_number() over (partition by scan_id order by confidence nulls first, id) as place from duplicate_groups qualify place <= 100")
+def groups_least_certain_first(t):
+    """The hundred least certain groups of each run, in order."""
+    return store.least_certain(t.duplicate_groups, 100).select(F.col("id").alias("group_id"), "scan_id", "confidence", "place")
+
+
+@query("""select group_id, file_id, row_number() over (partition by group_id order by file_id is not distinct from canonical_file_id desc, file_id) as place
+from (select distinct group_id, file_id, canonical_file_id from duplicate_members m join duplicate_groups g on g.id = m.group_id where file_id is not null) qualify place <= 500""")
+def members_kept_first(t):
+    """The first five hundred members of each group, the kept one ahead."""
+    return store.kept_first(t.duplicate_groups, t.duplicate_members, 500).select("group_id", "file_id", "place")
+
+
+_NOW = "timestamp '2024-06-01 00:00:00'"
+
+
+@query(f"""select id, case when last_heartbeat is null then 'UNKNOWN' when s < 30 then 'RUNNING' when s < 300 then 'RESUMING' else 'INTERRUPTED' end as state,
+case when s is null then null when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' else (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' end as age,
+strftime(created_at, '%Y-%b-%d %H:%M:%S') as shown
+from (select *, greatest(date_diff('second', date_trunc('second', last_heartbeat), {_NOW}), 0) as s from scans)""")
+def run_liveness(t):
+    """Heartbeat state and age as of a stated time, and the start as it is shown."""
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    beat = F.col("last_heartbeat")
+    return t.scans.select("id", runs.heartbeat_state(beat, now).alias("state"), c.age(runs.seconds_since(beat, now)).alias("age"), c.display_date(F.col("created_at")).alias("shown"))
+
+
+@query("select id, case when strategy = 'exact-hash' then 'success' when confidence >= 0.8 then 'contrast' else 'error' end as badge, round(confidence * 100)::bigint || '%' as percent from duplicate_groups where confidence is not null and round(confidence * 1000) % 10 <> 5")
+def confidence_badges(t):
+    """Badges and percents; percents half-way between two are left out as the engines round them apart."""
+    g = t.duplicate_groups.filter("confidence is not null and round(confidence * 1000) % 10 <> 5")
+    return g.select("id", c.confidence_badge(F.col("strategy"), F.col("confidence")).alias("badge"), c.percent(F.col("confidence")).alias("percent"))
+
+
+@query("select id, '0.95|0.5' as settings, 'run_' || strftime(created_at, '%Y%m%d_%H%M%S') as label from scans where created_at is not null")
+def run_labels(t):
+    s = t.scans.filter("created_at is not null")
+    return s.select("id", c.settings_fingerprint(F.lit(0.95), F.lit(0.5)).alias("settings"), c.run_label(F.col("created_at")).alias("label"))
+
+
+@query("select m.group_id, m.file_id, (a.hash_full = b.hash_full)::int::double as similarity from (select distinct group_id, file_id from duplicate_members) m join duplicate_groups g on g.id = m.group_id join files a on a.id = m.file_id join files b on b.id = g.canonical_file_id where a.hash_full is not null and b.hash_full is not null")
+def equality_similarity(t):
+    """The similarity of types without one of their own: 1 for equal content, else 0."""
+    f = t.files.filter("hash_full is not null")
+    m = t.duplicate_members.select("group_id", "file_id").distinct().join(t.duplicate_groups.select(F.col("id").alias("group_id"), "canonical_file_id"), "group_id")
+    side = lambda k, h: f.select(F.col("id").alias(k), F.col("hash_full").alias(h))
+    return m.join(side("file_id", "a"), "file_id").join(side("canonical_file_id", "b"), "canonical_file_id").select("group_id", "file_id", fp.equality_similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
 @query("select id as group_id, coalesce(confidence, 0) >= 0.95 as is_auto, case strategy when 'exact-hash' then 'Exact' when 'near-dup-image' then 'Image' when 'near-dup-document' then 'Document' else strategy end as label from duplicate_groups")
 def group_labels(t):
     return t.duplicate_groups.select(F.col("id").alias("group_id"), (F.coalesce("confidence", F.lit(0.0)) >= 0.95).alias("is_auto"), c.strategy_label(F.col("strategy")).alias("label"))

@@ -310,6 +310,65 @@ def test_reuse(spark):
     assert rows(store.reuse_fingerprints(new, old)) == [(11, "a", True, "q", "g"), (12, "b", False, None, None), (13, "c", False, None, None), (14, "d", False, None, None)]
 
 
+@pytest.mark.parametrize("block,hot_rows", [(1000, 20_000), (3, 5)])
+def test_image_links_against_all_pairs(spark, monkeypatch, block, hot_rows):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(shared, "HOT_ROWS", hot_rows)
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(12)]
+    images = [(0, "image/png", bytes(8)), (1, "image/png", bytes(8)), (2, None, bytes(8)), (3, "image/png", None), (4, "image/png", b"short")]
+    for i in range(90):
+        x = base[i % 12]
+        for bit in r.sample(range(64), r.randrange(0, 9)):
+            x ^= 1 << bit
+        images.append((10 + i, r.choice(["image/png", "image/png", "image/gif"]), x.to_bytes(8, "big")))
+    links = dedup.image_links(spark.createDataFrame([(*x, "x") for x in images], "id long, kind string, fp binary, n string"))
+    classes = {}
+    for i, kind, f in images:
+        if kind and f and len(f) == 8:
+            classes.setdefault((kind, int.from_bytes(f, "big")), []).append(i)
+    want = set()
+    for (ka, x), a in classes.items():
+        for (kb, y), b in classes.items():
+            d = (x ^ y).bit_count()
+            if ka == kb and min(a) < min(b) and 0 < d <= 6:
+                want.add((min(a), min(b), 1 - d / 64, len(a), len(b)))
+    assert {tuple(x) for x in links.collect()} == want and len(want) > 20
+    with pytest.raises(ValueError):
+        dedup.image_links(links, 0.5)
+
+
+def test_strategies_are_clustered_apart(spark):
+    at = T(2020, 1, 1)
+    files = spark.createDataFrame([(i, 1, f"/p{i}", 10 if i < 5 else 1000 * i, at, None, None, "") for i in range(1, 10)], FILES).withColumn("mime_type", F.lit("text/html"))
+    pairs = [(1, 2, 1.0, "exact-hash"), (2, 9, 1.0, " Exact-Hash"), (1, 3, 0.96, "near-dup-document"), (3, 4, 0.97, "near-dup-document"), (5, 6, 0.9, None), (7, 99, 0.9, None), (None, 1, 1.0, "exact-hash"), (4, 1, float("nan"), "near-dup-document")]
+    groups, members = dedup.clusters_by_strategy(spark.createDataFrame(pairs, "file_id_a long, file_id_b long, similarity double, strategy string"), files)
+    assert rows(groups) == [("exact-hash", 1, 1, 3, 1.0), ("near-dup-document", 1, 1, 3, 0.96), ("unknown", 5, 5, 2, 0.9)]
+    assert {tuple(r) for r in members.collect()} == {("exact-hash", 1, i) for i in (1, 2, 9)} | {("near-dup-document", 1, i) for i in (1, 3, 4)} | {("unknown", 5, 5), ("unknown", 5, 6)}
+
+
+def test_heavy_keys_of_small_shares(spark):
+    data = spark.range(20_000).select(F.when(F.col("id") < 30, F.lit(7)).otherwise(F.col("id") + 100).alias("k"), F.lit("v").alias("v"), F.lit(1).alias("s"))
+    got = heavy_keys.per_key_results(data, ["k"], "v", "s", share=1 / 1000).filter("is_heavy").collect()
+    assert [(r.k, r.n_rows) for r in got] == [(7, 30)]
+    with pytest.raises(ValueError):
+        heavy_keys.per_key_results(data, ["k"], "v", "s", share=1e-9)
+
+
+def test_first_of_each_group_by_salted_parts(spark):
+    groups = spark.createDataFrame([(i, i % 3, "s", None if i % 10 == 0 else i / 100, 1) for i in range(90)], "id long, scan_id long, strategy string, confidence double, canonical_file_id long")
+    got = [(r.scan_id, r.id) for r in dedup_order(store.least_certain(groups, 4))]
+    want = []
+    for scan in range(3):
+        ids = sorted((i for i in range(90) if i % 3 == scan), key=lambda i: (i % 10 != 0, i / 100, i))
+        want += [(scan, i) for i in ids[:4]]
+    assert got == want
+
+
+def dedup_order(df):
+    return df.orderBy("scan_id", "place").collect()
+
+
 def test_exclusion_by_components(spark):
     files = spark.createDataFrame([(1, "/a/arch/x"), (2, "/a/arch2/x"), (3, "/a/arch"), (4, None), (5, "/r")], "id long, path string")
     roots = spark.createDataFrame([("/a/arch/",), (None,)], "root string")
