@@ -14,8 +14,8 @@ def scan_tree(spark: SparkSession, roots: list[str], scan_id: int = 1, excluded:
     """files rows of one scan. Full hashes are computed only where size and partial hash are shared."""
     listed = cut(list_files(spark, roots, excluded), "listing").df
     twins = listed.join(listed.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size"), "size", "left_semi")
-    hashes = hash_files(spark, roots, twins.select("path"))
-    rows = listed.join(hashes, "path")
+    hashes = hash_files(twins, whole=True)
+    rows = listed.join(hashes, "path", "left")
     order = F.xxhash64("path")  # a stable id without a global sort
     return rows.select(
         order.alias("id"), F.lit(scan_id).cast("long").alias("scan_id"), "path", "provider", "size", "modified_at", "mime_type", "hash_partial", "hash_full", "copy_hint"

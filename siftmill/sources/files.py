@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions.columns import copy_hint, is_under, mime_of
-from siftmill.functions.fingerprints import full_hash, image_dhash, partial_hash
+from siftmill.functions.fingerprints import PARTIAL_BYTES, image_dhash
+
+#: Bytes of a file read at once.
+CHUNK = 8 << 20
 
 
 def _local(root: str) -> str | None:
@@ -18,6 +26,11 @@ def _local(root: str) -> str | None:
     return root if "://" not in root else None
 
 
+def local_path(uri):
+    """A local file's plain path; other URIs as they are. Spark's readers name files without escapes."""
+    return F.regexp_replace(uri, "^file:/+", "/")
+
+
 def _reader(spark: SparkSession):
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
 
@@ -34,7 +47,7 @@ def list_files(spark: SparkSession, roots: list[str], excluded: list[str] = ())
         found = spark.createDataFrame([], empty)
     else:
         found = _reader(spark).load(here).select("path", "length", "modificationTime").distinct()
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    path = local_path(F.col("path"))
     rows = found.select(
         path.alias("path"),
         F.col("length").alias("size"),
@@ -48,17 +61,43 @@ def list_files(spark: SparkSession, roots: list[str], excluded: list[str] = ())
     return rows
 
 
-def hash_files(spark: SparkSession, roots: list[str], full_for: DataFrame | None = None) -> DataFrame:
-    """(path, hash_partial, hash_full). With ``full_for`` (path) only those files' full hashes are computed."""
-    raw = _reader(spark).load(roots).select(F.regexp_replace(F.col("path"), "^file:/+", "/").alias("path"), "content")
-    part = partial_hash(F.col("content")).alias("hash_partial")
-    if full_for is None:
-        return raw.select("path", part, full_hash(F.col("content")).alias("hash_full"))
-    wanted = full_for.select("path", F.lit(True).alias("wanted")).distinct()
-    return raw.join(wanted, "path", "left").select("path", part, F.when(F.col("wanted"), full_hash(F.col("content"))).alias("hash_full"))
+def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads, wholes = [], []
+        for path, whole in zip(batch.column("path").to_pylist(), batch.column("whole").to_pylist()):
+            head = full = None
+            try:
+                system, where = fs.FileSystem.from_uri(path if "://" in path else "file://" + quote(path))
+                with system.open_input_stream(where) as f:
+                    first = f.read(PARTIAL_BYTES)
+                    head = hashlib.sha256(first).hexdigest()
+                    if whole:
+                        h = hashlib.sha256(first)
+                        while chunk := f.read(CHUNK):
+                            h.update(chunk)
+                        full = h.hexdigest()
+            except OSError:  # gone or unreadable since it was listed: no hash
+                pass
+            heads.append(head)
+            wholes.append(full)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.string()), pa.array(wholes, pa.string())], ["path", "hash_partial", "hash_full"])
+
+
+def hash_files(paths: DataFrame, whole: bool = False) -> DataFrame:
+    """(path, hash_partial, hash_full) of the files in ``paths`` (path); the full hash only if ``whole``.
+
+    Heads of 4,096 bytes are read alone; whole files are read in chunks, so they may be of any size. Files that cannot be
+    read have null hashes.
+    """
+    spark = paths.sparkSession
+    todo = paths.select("path").filter("path is not null").distinct().repartition(max(spark.sparkContext.defaultParallelism, 1) * 4, "path")
+    return todo.withColumn("whole", F.lit(whole)).mapInArrow(_hasher, "path string, hash_partial string, hash_full string")
 
 
 def fingerprint_images(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(path, fingerprint) by difference hash; undecodable files are dropped, tiny images have none."""
-    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(roots)
-    return images.select(F.regexp_replace(F.col("image.origin"), "^file:/+", "/").alias("path"), image_dhash(F.col("image")).alias("fingerprint"))
+    here = [r for r in roots if _local(r) is None or os.path.exists(_local(r))]
+    if not here:
+        return spark.createDataFrame([], "path string, fingerprint binary")
+    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(here)
+    return images.select(local_path(F.col("image.origin")).alias("path"), image_dhash(F.col("image")).alias("fingerprint"))

@@ -1,7 +1,8 @@
 """Storage providers as a Spark data source: a provider lists entries, Spark reads them in parallel.
 
 ``spark.dataSource.register(ProviderSource)``, then ``spark.read.format("siftmill_provider").option("provider", name)
-.option("roots", json)``. Providers are registered by name in ``PROVIDERS``; a failing root is skipped.
+.option("roots", json)``. Providers are registered by name in ``PROVIDERS``; a root that fails
+before its first entry is skipped, one that fails later fails the read.
 """
 
 from __future__ import annotations
@@ -55,8 +56,11 @@ class ProviderReader(DataSourceReader):
     def read(self, partition: InputPartition):
         if partition.value is None:
             return
+        listed = 0
         try:
             for path, size, at in PROVIDERS[self.provider](partition.value):
+                listed += 1
                 yield self.provider, path, size, at
         except OSError:
-            return
+            if listed:  # a listing cut off half-way would pass for a whole one
+                raise

@@ -25,6 +25,54 @@ def buckets_for(rows: int) -> int:
     return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << max(0, (rows - 1) // ROWS_PER_BUCKET).bit_length()))
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def version_path(folder: str, version: int) -> str:
+    return f"{folder}/v{version:08d}"
+
+
+def listed_versions(spark: SparkSession, folder: str) -> list[int]:
+    """All versions below a folder, complete or not, in order."""
+    p, fs = _fs(spark, folder)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def read_note(spark: SparkSession, folder: str, version: int) -> dict | None:
+    """What was noted with a version; None if it is not complete."""
+    p, fs = _fs(spark, f"{version_path(folder, version)}/_note.json")
+    if version < 0 or not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, folder: str, version: int, note: dict) -> None:
+    """Complete a version."""
+    p, fs = _fs(spark, f"{version_path(folder, version)}/_note.json")
+    part, _ = _fs(spark, f"{version_path(folder, version)}/_note.tmp")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(json.dumps(note).encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, p):
+        raise OSError(f"cannot complete {version_path(folder, version)}")
+
+
+def current_version(spark: SparkSession, folder: str) -> int:
+    """The newest complete version, -1 if there is none."""
+    return next((v for v in reversed(listed_versions(spark, folder)) if read_note(spark, folder, v) is not None), -1)
+
+
 class VersionedTable:
     """A table below ``folder``, bucketed by ``keys``."""
 
@@ -32,34 +80,14 @@ class VersionedTable:
         self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
         self._names: dict[int, str] = {}
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def path(self, version: int) -> str:
-        return f"{self.folder}/v{version:08d}"
-
-    def _listed(self) -> list[int]:
-        p, fs = self._fs(self.folder)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+        return version_path(self.folder, version)
 
     def note(self, version: int) -> dict | None:
-        """What was noted with a version; None if it is not complete."""
-        p, fs = self._fs(f"{self.path(version)}/_note.json")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return read_note(self.spark, self.folder, version)
 
     def version(self) -> int:
-        """The newest complete version, -1 if there is none."""
-        return next((v for v in reversed(self._listed()) if self.note(v) is not None), -1)
+        return current_version(self.spark, self.folder)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version, the current one if none is named; None if there is none."""
@@ -79,27 +107,19 @@ class VersionedTable:
     def write(self, rows: DataFrame, buckets: int, arranged: bool = False, **note) -> int:
         """Write the next version and make it current; its number. ``arranged`` rows are in their buckets already. The note
         holds the number of rows, the buckets, the schema and what is given."""
-        v = (self._listed() or [-1])[-1] + 1
+        v = (listed_versions(self.spark, self.folder) or [-1])[-1] + 1
         name = f"siftmill_{uuid.uuid4().hex[:16]}"
         placed, seen = rows if arranged else rows.repartition(buckets, *self.keys), Observation()
         placed.observe(seen, F.count(F.lit(1)).alias("rows")).write.bucketBy(buckets, *self.keys).option("path", self.path(v)).format("parquet").saveAsTable(name)
         self._names[v] = name
-        text = json.dumps({**note, "rows": int(seen.get.get("rows") or 0), "buckets": buckets, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)})
-        p, fs = self._fs(f"{self.path(v)}/_note.json")
-        part, _ = self._fs(f"{self.path(v)}/_note.tmp")
-        out = fs.create(part, True)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        if not fs.rename(part, p):
-            raise OSError(f"cannot complete {self.path(v)}")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        write_note(self.spark, self.folder, v, {**note, "rows": int(seen.get.get("rows") or 0), "buckets": buckets, "schema": schema})
         return v
 
     def retire(self, before: int | None = None) -> None:
         """Delete the versions before one (the current one if none is named); nothing lazy may read them any more."""
         last = self.version() if before is None else before
-        for v in self._listed():
+        for v in listed_versions(self.spark, self.folder):
             if v < last:
                 if v in self._names:
                     self.spark.sql(f"drop table if exists {self._names.pop(v)}")
