@@ -102,6 +102,17 @@ def signature(text: Column) -> Column:
     return minhash(F.when(~blank, normalise_text(text)))
 
 
+def signature_bytes(sig: Column) -> Column:
+    """A signature as 1,024 bytes, each number in eight, the highest first."""
+    return F.unhex(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def signature_numbers(data: Column) -> Column:
+    """The numbers of a signature of 1,024 bytes."""
+    at = F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))
+    return F.transform(at, lambda k: F.conv(F.hex(F.substring(data, k * 8 + 1, F.lit(8))), 16, -10).cast("decimal(20,0)").cast("long"))
+
+
 def minhash_similarity(a: Column, b: Column) -> Column:
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     return same / F.lit(float(PERMUTATIONS))

@@ -167,15 +167,15 @@ def dismiss(groups: DataFrame, members: DataFrame, dismissed: DataFrame) -> tupl
     return groups.join(gone.withColumnRenamed("group_id", "id"), "id", "left_anti"), members.join(gone, "group_id", "left_anti")
 
 
-def results_rows(scans: DataFrame, files: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Lines of the results export: run, group number within the run by id, strategy, confidence, role, path, size."""
+def results_rows(scans: DataFrame, files: DataFrame, groups: DataFrame, members: DataFrame, quoted: bool = True) -> DataFrame:
+    """Lines of the results export, with paths quoted for CSV unless the writer does that: run, group number within the run by id, strategy, confidence, role, path, size."""
     number = F.row_number().over(Window.partitionBy("scan_id").orderBy("id"))
     numbered = groups.select(F.col("id").alias("group_id"), number.alias("group_index"))
     info = files.select(F.col("id").alias("file_id"), "path", "size")
     rows = _members(groups, members).join(numbered, "group_id").join(info, "file_id").join(scans.select(F.col("id").alias("scan_id"), "run_label"), "scan_id")
     role = F.when(F.col("file_id") == F.col("canonical_file_id"), "canonical").otherwise("duplicate")
     return rows.select(
-        F.col("scan_id").alias("run_id"), "run_label", "group_index", "strategy", F.format_string("%.4f", F.coalesce("group_confidence", F.lit(0.0))).alias("confidence"), role.alias("role"), csv_quoted(F.col("path")).alias("path"), "size"
+        F.col("scan_id").alias("run_id"), "run_label", "group_index", "strategy", F.format_string("%.4f", F.coalesce("group_confidence", F.lit(0.0))).alias("confidence"), role.alias("role"), (csv_quoted(F.col("path")) if quoted else F.col("path")).alias("path"), "size"
     )
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from siftmill.functions.columns import copy_hint, is_under, mime_of
 from siftmill.functions.fingerprints import PARTIAL_BYTES, image_dhash
 
+#: Names that the image reader is given.
+IMAGE_NAMES = "*.{jpg,jpeg,png,gif,bmp,JPG,JPEG,PNG,GIF,BMP}"
 #: Bytes of a file read at once.
 CHUNK = 8 << 20
 
@@ -94,10 +96,33 @@ def hash_files(paths: DataFrame, whole: bool = False) -> DataFrame:
     return todo.withColumn("whole", F.lit(whole)).mapInArrow(_hasher, "path string, hash_partial string, hash_full string")
 
 
+def _read_whole(path: str) -> bytes | None:
+    try:
+        system, where = fs.FileSystem.from_uri(path if "://" in path else "file://" + quote(path))
+        with system.open_input_stream(where) as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():  # one file a batch: texts may be long
+            data = _read_whole(path)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None if data is None else data.decode("utf-8", "replace")], pa.string())], ["path", "text"])
+
+
+def read_texts(paths: DataFrame) -> DataFrame:
+    """(path, text) of the files in ``paths`` (path), as UTF-8 with a mark for what is not; null for unreadable ones."""
+    parts = max(paths.sparkSession.sparkContext.defaultParallelism, 1) * 4
+    return paths.select("path").filter("path is not null").distinct().repartition(parts, "path").mapInArrow(_texts, "path string, text string")
+
+
 def fingerprint_images(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(path, fingerprint) by difference hash; undecodable files are dropped, tiny images have none."""
+    """(path, fingerprint) by difference hash of the files named as images below the roots; undecodable ones are dropped,
+    tiny images have none."""
     here = [r for r in roots if _local(r) is None or os.path.exists(_local(r))]
     if not here:
         return spark.createDataFrame([], "path string, fingerprint binary")
-    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(here)
+    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_NAMES).load(here)
     return images.select(local_path(F.col("image.origin")).alias("path"), image_dhash(F.col("image")).alias("fingerprint"))
