@@ -7,9 +7,12 @@ Iterative operators cut their lineage by writing a table below the folder named
 from __future__ import annotations
 
 import atexit
+import io
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,26 @@ def _cleanup_at_end(spark: SparkSession) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, so that they need not have it installed."""
+    key = f"{spark.sparkContext.applicationId}/package"
+    if key in _seen:
+        return
+    _seen.add(key)
+    home, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    path = f"{shared_dir(spark)}/{home.name}.zip"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(path)
+
+
 class Table:
     """A written table: ``df`` reads it back, ``rows`` is its row count, ``sums`` the sums asked for."""
 

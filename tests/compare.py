@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -16,9 +19,12 @@ sys.path.insert(0, str(ROOT))
 
 
 def session() -> SparkSession:
+    scratch = tempfile.mkdtemp(prefix="siftmill-tests-")
+    atexit.register(shutil.rmtree, scratch, True)
     conf = {
         "spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": os.environ.get("TEST_DRIVER_MEMORY", "6g"), "spark.sql.warehouse.dir": "/tmp/siftmill-warehouse",
+        "spark.driver.memory": os.environ.get("TEST_DRIVER_MEMORY", "6g"), "spark.sql.warehouse.dir": f"{scratch}/warehouse",
+        "spark.checkpoint.dir": f"file://{scratch}/shared",
     }
     spark = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,6 +1,12 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from compare import compare, duck
 
+from siftmill import shared
 from siftmill.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -32,3 +38,36 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_executors_need_no_package(tmp_path):
+    """Another working directory, and nothing of the repository on the path of the workers."""
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').config('spark.ui.enabled', 'false').getOrCreate()
+import __spark_entry__ as e
+print('rows', e.queries()['minhash_signatures'](spark, '/root/testdata/sf0.001').count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 100" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://x:7077", "a"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
