@@ -88,6 +88,10 @@ def least_differing(a: Column, b: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def _class_key() -> Column:
+    return F.sha2(F.to_json(F.struct("kind", "size", "sig")), 256)
+
+
 def near_duplicate_classes(records: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Pairs (id_a, id_b, similarity, n_a, n_b) between classes of records alike in kind, size and signature.
 
@@ -95,15 +99,16 @@ def near_duplicate_classes(records: DataFrame, min_similarity: float = MIN_SIMIL
     Pairs have one kind, a size ratio of at least one half (if both sizes are positive) and
     min_similarity <= similarity < 1. Found by 64 bands of two values and, where pairs of just 64 equal positions count,
     by the crossings of the first two bands; this is certain from 64 equal positions, the least that may be asked for.
-    Sketches travel with the bands, so only pairs that can be similar enough fetch their signatures.
+    Sketches travel with the bands, so only pairs that can be similar enough fetch their signatures. Records of one id are
+    taken to be alike.
     """
     if min_similarity < MIN_SIMILARITY:
         raise ValueError(f"pairs below a similarity of {MIN_SIMILARITY} are not found for certain")
-    kept = cut(
-        records.filter("kind is not null").groupBy("kind", "size", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")),
-        "near-classes",
-    )
-    classes = kept.df.filter("sig is not null")  # here, as a filter on a fingerprint not written yet would compute it twice
+    # fingerprints are written first, so that no aggregate holds them and none is computed twice
+    kept = cut(records.filter("kind is not null").select("id", "kind", "size", "sig", _class_key().alias("key")), "near-signed")
+    signed = kept.df.filter("sig is not null")
+    names = signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = cut(signed.drop("key").join(names.drop("key"), "id").dropDuplicates(["id"]), "near-classes").df
     at = [(k * ROWS + 1, k * ROWS + 2) for k in range(BANDS)]
     if PERMUTATIONS * min_similarity <= BANDS:
         at += [(a, b) for a in at[0] for b in at[1]]
@@ -127,7 +132,7 @@ def near_duplicate_classes(records: DataFrame, min_similarity: float = MIN_SIMIL
 def near_duplicate_members(records: DataFrame) -> DataFrame:
     """(id, class_id, n): every record that has a kind and a signature with its class of ``near_duplicate_classes``, named
     by the lowest id, and the number of records in it. A class of many copies does not gather in one task."""
-    known = records.filter("kind is not null").select("id", "sig", F.sha2(F.to_json(F.struct("kind", "size", "sig")), 256).alias("key"))
+    known = records.filter("kind is not null").select("id", "sig", _class_key().alias("key"))
     keyed = cut(known.select("id", "key", F.col("sig").isNotNull().alias("signed")), "near-keys")
     signed = keyed.df.filter("signed").drop("signed")
     classes = signed.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).withColumn("weight", F.col("n"))

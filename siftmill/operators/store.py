@@ -13,6 +13,10 @@ from siftmill.functions.columns import ancestors, archive_path, copy_hint, csv_q
 from siftmill.operators.snapshots import completed_snapshots, path_changes, seconds
 
 
+#: Roots that are compared with as literals; more are joined.
+FEW_ROOTS = 5000
+
+
 def latest_by_path(files: DataFrame) -> DataFrame:
     """The row with the highest id of each path (null paths have none). Give only the columns needed: all travel."""
     cols = [c for c in files.columns if c != "path"]
@@ -40,6 +44,9 @@ def unchanged_scans(files: DataFrame, scans: DataFrame) -> DataFrame:
 def exclude_under(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Files whose path is none of ``roots`` (root) and lies below none, by whole components; null paths stay."""
     clean = roots.select(F.regexp_replace("root", "/+$", "").alias("root")).filter("root is not null").distinct()
+    few = [r.root for r in clean.limit(FEW_ROOTS + 1).collect()]
+    if len(few) <= FEW_ROOTS:  # a set of literals: rows are told apart in the scan, without a join
+        return files.filter(F.col("path").isNull() | ~F.exists(ancestors(F.col("path")), lambda a: a.isin(few))) if few else files
     below = files.filter("path is not null").select("id", F.explode(ancestors(F.col("path"))).alias("root")).join(clean, "root", "left_semi").select("id").distinct()
     return files.join(below, "id", "left_anti")
 
