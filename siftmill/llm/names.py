@@ -221,9 +221,9 @@ class NameModel:
         out = []
         for run in RUN.finditer(text):
             s = run.start()
-            if s and (text[s - 1].isalnum() or text[s - 1] in "@+&_/-" or text[s - 1] == "." and s > 1 and text[s - 2].isalnum()):
-                continue
             tokens = [(m.start(), m.end(), m.group(), m.lastindex == 2) for m in _TOKEN.finditer(text, s, run.end())]
+            if s and (text[s - 1].isalnum() or text[s - 1] in "@+&_/-" or text[s - 1] == "." and s > 1 and text[s - 2].isalnum()):
+                tokens = tokens[1:]  # the end of an address or a number
             out += self._pick(text, tokens)
         return out
 
@@ -268,7 +268,7 @@ class NameModel:
             parts = self.part(last, True)
             if middle and not middle[3]:  # three words: only if each of them could be a name
                 m = max(self.part(middle[2], False), self.part(middle[2], True))
-                if initial or m < 0.8 or parts < 0.8:
+                if initial or m < 0.8 or parts < 0.8 or last.lower() in self.ordinary:
                     return -9.0
                 parts += 0.3
             parts += 2.5 if initial else self.part(first, False)
